@@ -7,7 +7,7 @@ operators  one module per step: preprocess, distance, neighbours, graph, geodesi
 plans      Config and fit(): the steps composed into one dataflow
 """
 from .plans.config import Config
-# PIPE
+from .plans.pipeline import Fit, fit
 
 __all__ = ["Config", "Fit", "fit"]
 __version__ = "0.1.0"

@@ -9,8 +9,6 @@ with a bounded number of others, and no result is dropped: the bounds are exact.
 Approximate search. The same packing under several random pivot sets gives candidate lists, then rounds of
 nearest-neighbour descent test pairs that share a neighbour. Distances are always the exact ones.
 """
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -18,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.arrays import lists, map_batches, matrix
 from ..functions.blocks import block_rows, pack
 from ..functions.kernels import METRICS, merge_top
+from ..functions.ranks import with_rank
 from ..functions.skew import hubs, salted_join
 from ..session import cut, parallelism
 
@@ -363,10 +362,24 @@ def _local_join(lists_: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         run, "star_id bigint, nbr_id bigint, dist double")
 
 
+def overlap_table(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """(star_id, shared, same_first): how many of the first k neighbours two searches share, per star."""
+    left = a.where(F.col("rank") <= k).select("star_id", "nbr_id", F.col("rank").alias("_ra"))
+    right = b.where(F.col("rank") <= k).select("star_id", "nbr_id", F.col("rank").alias("_rb"))
+    both = F.col("_rb").isNotNull()
+    first = both & (F.col("_ra") == 1) & (F.col("_rb") == 1)
+    return left.join(right, ["star_id", "nbr_id"], "left").groupBy("star_id").agg(
+        F.count(F.when(both, 1)).alias("shared"), F.max(first).alias("same_first"))
+
+
 def overlap(a: DataFrame, b: DataFrame, k: int) -> tuple[float, float]:
     """(mean share of the first k neighbours two searches have in common, share of equal first neighbours)."""
-    n = a.select("star_id").distinct().count()
-    left, right = (x.where(F.col("rank") <= k).select("star_id", "nbr_id", "rank") for x in (a, b))
-    both = left.alias("l").join(right.alias("r"), ["star_id", "nbr_id"])
-    shared, first = both.agg(F.count(F.lit(1)), F.count(F.when((F.col("l.rank") == 1) & (F.col("r.rank") == 1), 1))).first()
-    return shared / (n * k), first / n
+    row = overlap_table(a, b, k).agg(F.avg("shared") / k, F.avg(F.col("same_first").cast("double"))).first()
+    return float(row[0]), float(row[1])
+
+
+def feature_layout(features: DataFrame, rows: int) -> DataFrame:
+    """(star_id, block): bounded blocks of stars that share their nearest pivots, for block-wise graph work."""
+    vectors = features.select("star_id", F.col("phi").alias("vec"))
+    keyed = _near_pivots(vectors, _pivots(vectors, "l1", seed=1), "l1").select(*KEY)
+    return with_rank(keyed, KEY).select("star_id", F.floor(F.col("rnk") / rows).cast("bigint").alias("block"))
