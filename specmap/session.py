@@ -1,5 +1,7 @@
 """What the library needs from the session: a place to cut lineage, and the parallelism to size blocks by."""
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers whatever folder the session was started in (once per session)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_specmap_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="specmap-ship-")
+    sc.addPyFile(shutil.make_archive(f"{folder}/specmap", "zip", root.parent, root.name))
+    sc._specmap_shipped = True
