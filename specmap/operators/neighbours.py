@@ -73,13 +73,12 @@ def collapse_copies(vectors: DataFrame, k: int, search, total: int) -> DataFrame
     order = Window.partitionBy("rep").orderBy("star_id")
     heads = (member.where("_copies > 1").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
              .select("rep", F.col("star_id").alias("head")))
-    found = search(reps, distinct_n) if distinct_n > 1 else None
+    found = cut(search(reps, distinct_n)) if distinct_n > 1 else None
     own = member.where("star_id = rep").select("star_id", F.col("star_id").alias("nbr_id"), F.lit(0.0).alias("dist"))
     lists_ = own if found is None else own.unionByName(found.select("star_id", "nbr_id", F.col("dist").cast("double")))
-    head_count = lists_.count()
     by_group = lists_.withColumnRenamed("nbr_id", "rep")
     heads_of = heads.groupBy("rep").agg(F.collect_list("head").alias("_heads"))          # at most k + 1 each
-    wide = _left_join(by_group, heads_of, "rep", head_count)
+    wide = salted_join(by_group, heads_of, "rep", hubs(by_group, "rep", distinct_n * (k + 1)), "left")
     opened = wide.select("star_id", "dist", F.explode(F.coalesce("_heads", F.array("rep"))).alias("nbr_id"))
     top = Window.partitionBy("star_id").orderBy("dist", "nbr_id")
     kept = opened.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k + 1)
@@ -91,19 +90,17 @@ def collapse_copies(vectors: DataFrame, k: int, search, total: int) -> DataFrame
             .select("star_id", (F.col("_p") + 1).alias("rank"), "e.nbr_id", "e.dist"))
 
 
-def _left_join(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
-    return salted_join(many, one, key, hubs(many, key, total), "left")
+# ---------------------------------------------------------------- exact search by blocks
 
+def _pivots(vectors: DataFrame, metric: str, seed: int, at_most: int) -> np.ndarray:
+    """A bounded sample of rows, by seeded hash: at most `at_most` of them and PIVOT_BYTES of vectors."""
+    rows = vectors.orderBy(F.xxhash64(F.lit(seed), "star_id"), "star_id").limit(at_most).collect()
+    found = np.array([r["vec"] for r in rows], METRICS[metric][1])
+    return found[:max(1, PIVOT_BYTES // found[0].nbytes)]
 
-# ---------------------------------------------------------------- exact search by blocks
 
-def _pivots(vectors: DataFrame, metric: str, seed: int, at_most: int = MAX_PIVOTS) -> np.ndarray:
-    """A bounded sample of rows, by seeded hash; its size is a constant, and its bytes are capped."""
-    width = len(vectors.first()["vec"])
-    _, dtype = METRICS[metric]
-    count = max(1, min(at_most, PIVOT_BYTES // (width * np.dtype(dtype).itemsize)))
-    rows = vectors.orderBy(F.xxhash64(F.lit(seed), "star_id"), "star_id").limit(count).collect()
-    return np.array([r["vec"] for r in rows], dtype)
+def pivot_count(n: int) -> int:
+    return max(8, min(MAX_PIVOTS, n // 64))
 
 
 def _near_pivots(vectors: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
@@ -139,7 +136,7 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, metric: str = "l1",
 
 def _by_blocks(queries: DataFrame, targets: DataFrame, k: int, metric: str, n_targets: int) -> DataFrame:
     spark = targets.sparkSession
-    pivots = _pivots(targets, metric, seed=1)
+    pivots = _pivots(targets, metric, 1, pivot_count(n_targets))
     rows = block_rows(n_targets, pivots.shape[1], max(64, k + 1), parallelism(spark), pivots.itemsize)
 
     def blocks_of(vectors):
@@ -154,19 +151,19 @@ def _by_blocks(queries: DataFrame, targets: DataFrame, k: int, metric: str, n_ta
                        .drop("ub").withColumn("ub", F.lit(float("inf"))))
         if len(pivots) > k:
             q_blocks = q_blocks.withColumn("ub", F.array_sort("hi")[k])
-    pairs = cut(_block_pairs(q_blocks, t_blocks, len(pivots)))
+    pairs = cut(_block_pairs(q_blocks, t_blocks))
     return _compare(q_blocks, t_blocks, pairs, k, metric)
 
 
-def _block_pairs(q_blocks: DataFrame, t_blocks: DataFrame, n_pivots: int) -> DataFrame:
+def _block_pairs(q_blocks: DataFrame, t_blocks: DataFrame) -> DataFrame:
     """(q, t, lb): the block pairs a bound cannot exclude.
 
     A block q has a home pivot. Any target block whose distances to that pivot stay outside
     [lo - ub, hi + ub] is excluded by it, so both sides meet on (pivot, bucket of distance); a pair that shares
     several buckets is kept in the first. The remaining pivots then sharpen the bound.
     """
-    widths = [w or 1.0 for w in t_blocks.agg(*[(F.max(F.col("hi")[p]) / BUCKETS).alias(f"w{p}") for p in range(n_pivots)]).first()]
-    width = F.lit([float(w) for w in widths])
+    tops = t_blocks.select(F.posexplode("hi").alias("p", "v")).groupBy("p").agg(F.max("v").alias("v")).collect()
+    width = F.lit([float(r["v"]) / BUCKETS or 1.0 for r in sorted(tops, key=lambda r: r["p"])])     # one per pivot
     home = F.array_position("hi", F.array_min("hi")).cast("int") - 1
 
     def bucket(value, p):
@@ -290,7 +287,7 @@ def _descend(vectors: DataFrame, total: int, k: int, seed: int) -> DataFrame:
     fresh = F.lit(1).alias("fresh")
     seeds = None
     for turn in range(SEED_PASSES):
-        near = _pack_top(vectors, _pivots(vectors, "l1", seed * 1000 + turn + 2), rows, k)
+        near = _pack_top(vectors, _pivots(vectors, "l1", seed * 1000 + turn + 2, MAX_PIVOTS), rows, k)
         near = near.select("star_id", "nbr_id", "dist", fresh)
         seeds = near if seeds is None else seeds.unionByName(near)
         if total <= rows:
@@ -381,5 +378,5 @@ def overlap(a: DataFrame, b: DataFrame, k: int) -> tuple[float, float]:
 def feature_layout(features: DataFrame, rows: int) -> DataFrame:
     """(star_id, block): bounded blocks of stars that share their nearest pivots, for block-wise graph work."""
     vectors = features.select("star_id", F.col("phi").alias("vec"))
-    keyed = _near_pivots(vectors, _pivots(vectors, "l1", seed=1), "l1").select(*KEY)
+    keyed = _near_pivots(vectors, _pivots(vectors, "l1", 1, MAX_PIVOTS), "l1").select(*KEY)
     return with_rank(keyed, KEY).select("star_id", F.floor(F.col("rnk") / rows).cast("bigint").alias("block"))

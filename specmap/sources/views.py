@@ -1,8 +1,11 @@
 """Spectra views over ordinary tables: embeddings, event series and documents read as profiles."""
 import string
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.arrays import lists, map_batches
 from .spectra import coerce
 
 EMB_PIXELS, EVT_DAYS = 64, 30
@@ -49,13 +52,28 @@ def event_days(spark: SparkSession, path: str) -> DataFrame:
         _indexed(EVT_DAYS, lambda p: F.col("m")[p].isNotNull()).alias("good")))
 
 
+def letter_counts(texts: pa.Array) -> np.ndarray:
+    """(rows, 26): how often each ASCII letter, in either case, occurs in every text; one pass over the bytes."""
+    slot = np.full(256, 26, np.int64)
+    for at, letter in enumerate(string.ascii_lowercase):
+        slot[[ord(letter), ord(letter.upper())]] = at
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    return np.bincount(row * 27 + slot[data], minlength=27 * len(texts)).reshape(-1, 27)[:, :26]
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Each document as a 26-pixel profile: one less the share of every letter, counted over the whole text."""
-    df = spark.read.parquet(f"{path}/documents.parquet")
-    counts = [F.length("text") - F.length(F.translate("text", a + a.upper(), "")) for a in string.ascii_lowercase]
-    counted = df.select(F.col("doc_id").alias("star_id"), F.array(*counts).alias("n"))
-    total = F.greatest(F.aggregate("n", F.lit(0), lambda s, v: s + v), F.lit(1))
-    return coerce(counted.select("star_id", F.transform("n", lambda v: 1 - v.cast("double") / total).alias("flux")))
+    df = spark.read.parquet(f"{path}/documents.parquet").select(F.col("doc_id").alias("star_id"), "text")
+
+    def stage(batch):
+        counts = letter_counts(batch["text"])
+        share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        return {"star_id": batch["star_id"], "flux": lists((1 - share).astype(np.float32))}
+
+    return coerce(map_batches(df, stage, "star_id bigint, flux array<float>"))
 
 
 def document_labels(spark: SparkSession, path: str) -> DataFrame:
