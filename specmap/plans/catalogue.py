@@ -213,7 +213,8 @@ def _doc_geodesics(spark, path):
     features = _doc_features(spark, path)
     edges = graph.lattice(_doc_knn(features), features, features).edges
     marks = [r["star_id"] for r in features.select("star_id").orderBy("star_id").limit(DOC_LANDMARKS).collect()]
-    return geo.geodesics(edges, marks, features), marks
+    layout = near.feature_layout(features, geo.BLOCK_STARS)
+    return geo.geodesics(edges, marks, features, layout), marks
 
 
 def geodesics(spark, path):
