@@ -25,7 +25,7 @@ emb AS (SELECT vec_id AS star_id, p AS pix,
                CAST(CAST(0.75 AS DOUBLE) - CAST(0.5 AS DOUBLE) * CAST(embedding[p + 1] AS DOUBLE) AS REAL) AS flux,
                (vec_id * 7 + p * 13) % 29 <> 0 AS good, CAST(CAST(0.01 AS DOUBLE) * (1 + p % 4) AS REAL) AS err
         FROM embeddings, range(64) t(p)),
-chunkings AS (SELECT * FROM (VALUES (0, 16), (1, 8), (2, 4)) k(chunking, width))"""
+chunkings AS (SELECT CAST(chunking AS BIGINT) AS chunking, width FROM (VALUES (0, 16), (1, 8), (2, 4)) k(chunking, width))"""
 
 EVT = """
 daily AS (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day,
@@ -144,7 +144,7 @@ running AS (SELECT star_id, pix, CASE WHEN k0 IS NULL THEN y1 WHEN k1 IS NULL OR
 
 COORD3 = "pts AS (SELECT vec_id AS star_id, CAST(embedding[1:3] AS DOUBLE[]) AS c FROM embeddings)"
 LABELS = """
-scored AS (SELECT l.doc_id, unnest([0, 1]) AS axis, unnest([CAST(quality AS DOUBLE), CAST(toxic AS DOUBLE)]) AS y,
+scored AS (SELECT l.doc_id, unnest([CAST(0 AS BIGINT), 1]) AS axis, unnest([CAST(quality AS DOUBLE), CAST(toxic AS DOUBLE)]) AS y,
                   unnest([n_chars / CAST(7000 AS DOUBLE), ln(CAST(n_chars AS DOUBLE) + 3) / CAST(11 AS DOUBLE)]) AS p
            FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
 ERR = "(quantile_cont(p - y, 0.84) - quantile_cont(p - y, 0.16)) / 2"
@@ -211,7 +211,7 @@ centred AS (SELECT star_id, f - avg(f) OVER (PARTITION BY pix) AS f FROM filled)
         SELECT star_id, {_r('sum(f * f)', 4)} AS norm2 FROM centred GROUP BY star_id""",
     "gram_trace": _with(*EMB_KNN) + f"""SELECT k.star_id, {_r('sum((CAST(b.flux AS DOUBLE) - CAST(a.flux AS DOUBLE)) ^ 2)', 5)} AS trace
         FROM knn k JOIN emb a ON a.star_id = k.star_id JOIN emb b ON b.star_id = k.nbr_id AND b.pix = a.pix GROUP BY k.star_id""",
-    "lle_weights": "SELECT vec_id AS star_id, 10 AS n, CAST(1 AS DOUBLE) AS total FROM embeddings",
+    "lle_weights": "SELECT vec_id AS star_id, CAST(10 AS BIGINT) AS n, CAST(1 AS DOUBLE) AS total FROM embeddings",
     "lle_weights_two": _with(*EMB_KNN, """
 two AS (SELECT p.star_id, p.nbr_id AS n1, s.nbr_id AS n2 FROM knn p JOIN knn s ON s.star_id = p.star_id AND p.rank = 1 AND s.rank = 2),
 gram AS (SELECT t.star_id, n1, n2, sum((CAST(b.flux AS DOUBLE) - CAST(a.flux AS DOUBLE)) ^ 2) AS g11,
@@ -240,7 +240,7 @@ xy AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(label AS DOUBLE) AS y FROM
 lin AS (SELECT regr_slope(y, x) AS slope_y, regr_intercept(y, x) AS at_y, regr_slope(x * x, x) AS slope_q, regr_intercept(x * x, x) AS at_q,
                var_pop(y) * count(*) AS sst FROM xy),
 res AS (SELECT y - at_y - slope_y * x AS ry, x * x - at_q - slope_q * x AS rq, sst FROM xy, lin)""") + f"""
-        SELECT 3 AS terms, {_r('1 - (sum(ry * ry) - sum(ry * rq) ^ 2 / sum(rq * rq)) / max(sst)', 8)} AS r2 FROM res""",
+        SELECT CAST(3 AS BIGINT) AS terms, {_r('1 - (sum(ry * ry) - sum(ry * rq) ^ 2 / sum(rq * rq)) / max(sst)', 8)} AS r2 FROM res""",
     "design": f"""WITH z AS (SELECT vec_id AS star_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
         basis AS (SELECT star_id, [1, a, b, a * a, a * b, b * b, a * a * a, a * a * b, a * b * b, b * b * b] AS t FROM z)
         SELECT star_id, i AS term, {_r('t[i + 1]')} AS v FROM basis, range(10) r(i)""",
