@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from specmap.llm import bpe, quality
+from specmap.llm import bpe, decontaminate, jaccard, quality, secrets
 from specmap.llm.queries import VOCABULARY, table
 from specmap.session import cut, ship_package
 
@@ -19,6 +20,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_quality(docs, table(spark, sf_dir, "labels"))
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    ship_package(spark)
+    return jaccard.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap an item of the benchmark go."""
+    ship_package(spark)
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; n_chars follows the text. Every document stays."""
+    ship_package(spark)
+    return secrets.redact(docs, secrets.train(docs)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, as digests and a length, with the check that they decode."""
     ship_package(spark)
@@ -27,6 +46,9 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
     ("bpe_encoding", bpe_encoding),
 ]
 

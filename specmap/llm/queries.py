@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specmap.llm import bpe, decontaminate, quality, secrets, tokens
+from specmap.llm import bpe, decontaminate, jaccard, quality, secrets, tokens
 
 #: The vocabulary that token counts and byte-pair coding use.
 VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_of(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,7 +43,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op2_token_counts, op3_bpe, op5_quality_rules, op9_decontamination, op10_secrets)
+    q.__name__: q for q in (op2_token_counts, op3_bpe, op5_quality_rules, op8_jaccard_join, op9_decontamination, op10_secrets)
 }
 
 ORACLES: dict[str, str] = {}
