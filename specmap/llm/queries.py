@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specmap.llm import bpe, decontaminate, jaccard, quality, secrets, tokens
+from specmap.llm import bpe, decontaminate, jaccard, quality, secrets, substrings, tokens
 
 #: The vocabulary that token counts and byte-pair coding use.
 VOCABULARY = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -43,7 +47,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op2_token_counts, op3_bpe, op5_quality_rules, op8_jaccard_join, op9_decontamination, op10_secrets)
+    q.__name__: q for q in (op2_token_counts, op3_bpe, op4_substring_dedup, op5_quality_rules, op8_jaccard_join, op9_decontamination, op10_secrets)
 }
 
 ORACLES: dict[str, str] = {}
