@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specmap.llm import bpe, decontaminate, jaccard, quality, secrets, substrings, tokens
+from specmap.llm import bpe, decontaminate, jaccard, lm, quality, secrets, substrings, tokens
 
 #: The vocabulary that token counts and byte-pair coding use.
 VOCABULARY = "word_bpe_49k.json"
@@ -33,6 +33,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op2_token_counts, op3_bpe, op4_substring_dedup, op5_quality_rules, op8_jaccard_join, op9_decontamination, op10_secrets)
+    q.__name__: q for q in (op2_token_counts, op3_bpe, op4_substring_dedup, op5_quality_rules, op7_lm_scores, op8_jaccard_join, op9_decontamination, op10_secrets)
 }
 
 ORACLES: dict[str, str] = {}
