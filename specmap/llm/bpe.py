@@ -18,6 +18,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -269,7 +270,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     """`docs` with the ids of each whole text in `ids_col` (which replaces a column of that name)."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(batches: Iterator) -> Iterator:
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = Vocabulary(path)
         for texts in batches:
             yield texts.map(lambda t: list(map(int, vocabulary.lines(t or "")[0].split())))
@@ -281,7 +282,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
     """`docs` with the decoded text of `ids_col` in `text_col`; null ids decode to the empty text."""
 
     @F.pandas_udf(T.StringType())
-    def text(batches: Iterator) -> Iterator:
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = Vocabulary(path)
         for ids in batches:
             yield ids.map(lambda x: "" if x is None else vocabulary.decode(list(x)))

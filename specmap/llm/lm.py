@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -274,7 +275,7 @@ def adaptive_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, score): each whole text under its own adaptive model."""
 
     @F.pandas_udf("double")
-    def scores(batches: Iterator) -> Iterator:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: adaptive_log10((t or "").encode(), order)).astype(float)
 

@@ -9,7 +9,8 @@ Labels that only say toxic or not become grades by rule (`graded`): 0 for texts
 3 by thirds of how often they use features that are typical of toxic texts.
 
 Cases: null and empty texts have no features and get the severity of the intercepts; a null id stays null; repeated rows
-each give a row; labels that are null or name no text teach nothing; labels of one grade give that grade to every text; an
+each give a row; labels that are null or name no text teach nothing; labels of one grade give that grade to every text, and without a feature seen in three
+texts the commoner of toxic and not is given; an
 empty table gives an empty one; other columns are ignored.
 """
 from __future__ import annotations
@@ -165,6 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if bad.all() or not bad.any():
         return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(1, -60.0 if bad.all() else 60.0))
     names, odds = select(text, feature, bad)
+    if not len(names):
+        top = bad.mean()
+        return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(1, -60.0 if top > 0.5 else 60.0))
     grade = graded(text, feature, count, names, odds, bad) if binary else np.maximum(y, 0).astype(np.int64)
     at = np.minimum(np.searchsorted(names, feature), len(names) - 1)
     hit = names[at] == feature
