@@ -29,7 +29,7 @@ SLACK = 1e-6               # rounding allowance of a bound, relative to the dist
 
 def check_k(k, n: int) -> int:
     if isinstance(k, bool) or not isinstance(k, (int, np.integer)) or not 0 < k < n:
-        raise ValueError(f"k = {k} must be a positive integer smaller than N = {n}")
+        raise ValueError(f"asked for {k} neighbours: give a positive integer below the {n} rows there are")
     return int(k)
 
 
@@ -38,7 +38,7 @@ def neighbours(features: DataFrame, k: int, search: str = "exact", seed: int = 0
     total = features.count()
     k = check_k(k, total)
     if search not in ("exact", "nndescent"):
-        raise ValueError(f"unknown search {search!r}: 'exact' or 'nndescent'")
+        raise ValueError(f"unknown search {search!r}; there are 'exact' and 'nndescent'")
     vectors = features.select("star_id", F.col("phi").alias("vec"))
     if search == "exact":
         found = nearest(vectors, vectors, k, "l1", total=total)
@@ -247,10 +247,8 @@ def _partitions(df: DataFrame) -> int:
 # ---------------------------------------------------------------- approximate search
 
 SEED_PASSES = 4            # packings under different pivots that supply the first candidate lists
-DESCENT_WIDTH = 16         # neighbours of a star that are tested against each other in a round
-MAX_ROUNDS = 12
+EXTRA = 30                 # lists hold this many entries beyond k while they improve
 STOP_RATE = 0.001          # share of list entries that must change for another round
-APPROX_BLOCK = 512
 
 
 def _pack_top(vectors: DataFrame, pivots: np.ndarray, rows: int, k: int) -> DataFrame:
@@ -281,27 +279,29 @@ def _best_k(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def _descend(vectors: DataFrame, total: int, k: int, seed: int) -> DataFrame:
-    """Nearest-neighbour descent among distinct vectors."""
-    k = min(k, total - 1)
-    rows = max(APPROX_BLOCK, 2 * (k + 1))
+    """Nearest-neighbour descent among distinct vectors.
+
+    Lists are kept a little longer than k. Every round tests all forward and as many reverse neighbours of a star
+    against each other; it ends when the share of changed entries falls to STOP_RATE, and not before.
+    """
+    wanted = min(k, total - 1)
+    k = min(k + EXTRA, total - 1)
+    rows = 4 * (k + 1)
     fresh = F.lit(1).alias("fresh")
     seeds = None
     for turn in range(SEED_PASSES):
         near = _pack_top(vectors, _pivots(vectors, "l1", seed * 1000 + turn + 2, MAX_PIVOTS), rows, k)
         near = near.select("star_id", "nbr_id", "dist", fresh)
         seeds = near if seeds is None else seeds.unionByName(near)
-        if total <= rows:
-            break                                  # one block held every star: the lists are exact
     lists_ = cut(_best_k(seeds, k))
-    if total > rows:
-        for _ in range(MAX_ROUNDS):
-            tested = cut(_local_join(lists_, vectors, k))
-            if not tested.limit(1).count():
-                break
-            old = lists_.select("star_id", "nbr_id", "dist", F.lit(0).alias("fresh"))
-            lists_ = cut(_best_k(old.unionByName(tested.select("star_id", "nbr_id", "dist", fresh)), k))
-            if lists_.where("fresh = 1").count() <= STOP_RATE * total * k:
-                break
+    turn = 0
+    while True:
+        tested = cut(_local_join(lists_, vectors, k, turn))
+        old = lists_.select("star_id", "nbr_id", "dist", F.lit(0).alias("fresh"))
+        lists_ = cut(_best_k(old.unionByName(tested.select("star_id", "nbr_id", "dist", fresh)), k))
+        turn += 1
+        if lists_.where("fresh = 1").count() <= STOP_RATE * total * k:
+            break
     short = lists_.groupBy("star_id").count().where(F.col("count") < k).select("star_id")
     missing = vectors.select("star_id").join(lists_.select("star_id").distinct(), "star_id", "left_anti")
     short = cut(short.unionByName(missing))
@@ -309,21 +309,29 @@ def _descend(vectors: DataFrame, total: int, k: int, seed: int) -> DataFrame:
     if short.count():
         again = _by_blocks(vectors.join(short, "star_id", "left_semi"), vectors, k, "l1", total)
         found = found.join(short, "star_id", "left_anti").unionByName(again)
-    return found
+    return found.where(F.col("rank") <= wanted)
+
+
+def _reverse(lists_: DataFrame, width: int, turn: int) -> DataFrame:
+    """(star_id, nbr_id, fresh): at most `width` of the stars that list each star, new ones first, drawn anew per round."""
+    back = lists_.select(F.col("nbr_id").alias("star_id"), F.col("star_id").alias("nbr_id"), "fresh")
+    draw = Window.partitionBy("star_id").orderBy(F.col("fresh").desc(), F.xxhash64(F.lit(turn), "star_id", "nbr_id"))
+    return back.withColumn("_r", F.row_number().over(draw)).where(F.col("_r") <= width).drop("_r")
 
 
-def _local_join(lists_: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(star_id, nbr_id, dist): improvements found by testing each star's first neighbours against each other.
+def _local_join(lists_: DataFrame, vectors: DataFrame, k: int, turn: int) -> DataFrame:
+    """(star_id, nbr_id, dist): improvements found by testing each star's neighbours, both ways, against each other.
 
-    A star's group holds itself and its first DESCENT_WIDTH neighbours with their vectors; only pairs with a fresh
-    entry are tested, and only distances that beat a member's current k-th are sent on. Neighbour vectors arrive
+    A star's group holds itself, its neighbours and up to k of the stars that name it, with their vectors; only pairs
+    with a fresh entry are tested, and only distances that beat a member's current k-th are sent on. Neighbour vectors arrive
     by a hub-safe join, so a star that many lists name is spread over tasks.
     """
     dtype = METRICS["l1"][1]
     worst = lists_.groupBy("star_id").agg(F.max("dist").alias("kth"), F.count(F.lit(1)).alias("_n"))
     worst = worst.select("star_id", F.when(F.col("_n") < k, F.lit(float("inf"))).otherwise(F.col("kth")).alias("kth"))
     member = vectors.join(worst, "star_id").select(F.col("star_id").alias("nbr_id"), "vec", "kth")
-    first = lists_.where(F.col("rank") <= DESCENT_WIDTH).select("star_id", "nbr_id", "fresh")
+    both = lists_.select("star_id", "nbr_id", "fresh").unionByName(_reverse(lists_, k, turn))
+    first = both.groupBy("star_id", "nbr_id").agg(F.max("fresh").alias("fresh"))
     active = first.groupBy("star_id").agg(F.max("fresh").alias("_any")).where("_any = 1").select("star_id")
     first = first.join(active, "star_id", "left_semi")
     seats = first.unionByName(active.select("star_id", F.col("star_id").alias("nbr_id"), F.lit(1).alias("fresh")))
