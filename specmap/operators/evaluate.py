@@ -22,7 +22,7 @@ def error_r2(truth: DataFrame, predicted: DataFrame, column: str = "y") -> DataF
     both = truth.select("star_id", F.col(column).alias("_y")).join(predicted.select("star_id", F.col(column).alias("_p")), "star_id")
     cells = both.select(F.posexplode(F.arrays_zip("_y", "_p")).alias("axis", "v"))
     cells = cells.select("axis", F.col("v._y").alias("y"), (F.col("v._p") - F.col("v._y")).alias("e"))
-    sums = cells.groupBy("axis").agg((1 - F.sum(F.col("e") * F.col("e")) / (F.var_pop("y") * F.count("y"))).alias("r2"))
+    sums = cells.groupBy("axis").agg((1 - F.try_divide(F.sum(F.col("e") * F.col("e")), F.var_pop("y") * F.count("y"))).alias("r2"))
     q = exact_quantiles(cells, "e", [0.16, 0.84], by="axis")
     return q.groupBy("axis").agg(((F.max("q") - F.min("q")) / 2).alias("err")).join(sums, "axis")
 

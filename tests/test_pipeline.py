@@ -33,7 +33,7 @@ def test_fit_end_to_end(spark, table, tmp_path):
     labelled = truth.where("star_id % 7 = 0")
     r2 = [r["r2"] for r in ev.error_r2(truth, out.propagate(labelled)).collect()]
     assert min(r2) > 0.8
-    with pytest.raises(ValueError, match="exceeds"):
+    with pytest.raises(ValueError, match="too few"):
         out.propagate(labelled, k_prop=40)
     with pytest.raises(ValueError):
         out.propagate(truth.selectExpr("star_id + 1000 AS star_id", "y"))
