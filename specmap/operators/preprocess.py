@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import lists, map_batches, matrix
+from ..session import cut
 
 Bounds = list[tuple[int, int]]
 
@@ -119,8 +120,8 @@ def prepare(spectra: DataFrame, segments: Sequence[int], window_px: int = 100, q
         return {"star_id": batch["star_id"], "flux": lists(np.where(ok, ratio, 1.0).astype(np.float32)),
                 "good": lists(ok), "err": lists(np.where(ok, err, 1.0).astype(np.float32))}
 
-    clean = map_batches(spectra.select("star_id", "flux", "good", "err"), normalise,
-                        "star_id bigint, flux array<float>, good array<boolean>, err array<float>")
+    clean = cut(map_batches(spectra.select("star_id", "flux", "good", "err"), normalise,
+                            "star_id bigint, flux array<float>, good array<boolean>, err array<float>"))
     cover = {r["pix"]: r["cover"] for r in pixel_cover(clean).collect()}       # one row per pixel of the axis
     common = np.array([cover.get(p, 0.0) > min_cover for p in range(len(axis))])
     return select_pixels(clean, common), axis[common].tolist(), common

@@ -78,7 +78,7 @@ def local_continuum_few_good(spark, path):
 
 
 def _running(spark, path, window):
-    out = preprocess.running_continuum(views.event_days(spark, path), views.EVT_SEGMENTS, window_px=window)
+    out = preprocess.running_continuum(*views.event_days(spark, path), window_px=window)
     cells = out.select("star_id", F.posexplode("continuum").alias("pix", "v"))
     return cells.select("star_id", _big("pix"), rounded(F.when(~F.isnan("v"), F.col("v"))).alias("continuum"))
 
@@ -92,7 +92,7 @@ def running_continuum_wide(spark, path):
 
 
 def prepare_pixel_cut(spark, path):
-    spectra, segments, common = preprocess.prepare(views.event_days(spark, path), views.EVT_SEGMENTS, window_px=20, min_cover=0.88)
+    spectra, segments, common = preprocess.prepare(*views.event_days(spark, path), window_px=20, min_cover=0.88)
     kept = [int(p) for p in common.nonzero()[0]]
     cells = to_long(spectra)
     axis = spark.createDataFrame([(i, p) for i, p in enumerate(kept)], "pix int, day int")
@@ -101,7 +101,7 @@ def prepare_pixel_cut(spark, path):
 
 
 def fill_bad(spark, path):
-    out = preprocess.fill_bad(views.event_days(spark, path))
+    out = preprocess.fill_bad(views.event_days(spark, path)[0])
     return out.select("star_id", F.posexplode("flux").alias("pix", "v")).select("star_id", _big("pix"), rounded("v", 5).alias("flux"))
 
 
@@ -251,7 +251,7 @@ def classical_mds(spark, path):
 
 def landmark_mds(spark, path):
     table = cut(_flat(spark, path))
-    marks = distance.draw_stars(views.coordinates(spark, path, 3), 50, 0, permute=True)
+    marks = distance.draw_stars(views.coordinates(spark, path, 3), 50, 1)
     names = spark.createDataFrame([(int(s), i) for i, s in enumerate(marks)], "j long, ord int")
     wide = (table.join(F.broadcast(names), "j").groupBy(F.col("i").alias("star_id"))
             .agg(F.array_sort(F.collect_list(F.struct("ord", "d"))).alias("_r")))

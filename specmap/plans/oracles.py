@@ -28,12 +28,12 @@ emb AS (SELECT vec_id AS star_id, p AS pix,
 chunkings AS (SELECT CAST(chunking AS BIGINT) AS chunking, width FROM (VALUES (0, 16), (1, 8), (2, 4)) k(chunking, width))"""
 
 EVT = """
-daily AS (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day,
+daily AS (SELECT user_id, date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) AS day,
                  CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS mean
           FROM events GROUP BY 1, 2),
 evt AS (SELECT u.user_id AS star_id, p AS pix, mean IS NOT NULL AS good,
-               CAST(1 - CAST(0.9 AS DOUBLE) * least(mean, 250) / 250 AS REAL) AS flux
-        FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN range(30) t(p)
+               CAST(1 - CAST(0.9 AS DOUBLE) * mean / (SELECT max(mean) FROM daily) AS REAL) AS flux
+        FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(range((SELECT max(day) + 1 FROM daily))) AS p) t
         LEFT JOIN daily d ON d.user_id = u.user_id AND d.day = p)"""
 
 _LETTERS = ", ".join(f"length(text) - length(translate(text, '{c}{c.upper()}', ''))" for c in "abcdefghijklmnopqrstuvwxyz")
@@ -131,9 +131,10 @@ FROM px JOIN fitted USING (star_id, chunk)"""
 
 def _running(half: int, first: int, step: int) -> str:
     return f"""
-knots AS (SELECT {first} + {step} * i AS knot FROM range(10) t(i) WHERE {first} + {step} * i < {30 - first}),
+knots AS (SELECT {first} + {step} * i AS knot FROM (SELECT unnest(range((SELECT max(day) + 1 FROM daily))) AS i) t
+          WHERE {first} + {step} * i < (SELECT max(day) + 1 FROM daily) - {first}),
 levels AS (SELECT star_id, knot, quantile_cont(CAST(flux AS DOUBLE), 0.9) AS y FROM evt JOIN knots
-           ON good AND pix >= greatest(0, knot - {half}) AND pix < least(30, knot + {half})
+           ON good AND pix >= greatest(0, knot - {half}) AND pix < least((SELECT max(day) + 1 FROM daily), knot + {half})
            GROUP BY star_id, knot HAVING count(*) >= 10 AND y > 0),
 sides AS (SELECT e.star_id, e.pix, max(knot) FILTER (knot <= e.pix) AS k0, arg_max(y, knot) FILTER (knot <= e.pix) AS y0,
                  min(knot) FILTER (knot >= e.pix) AS k1, arg_min(y, knot) FILTER (knot >= e.pix) AS y1
@@ -183,6 +184,7 @@ kept AS (SELECT pix FROM ratios GROUP BY pix HAVING avg(CAST(ok AS INT)) > 0.88)
         GROUP BY ALL""",
     "knn_exact": _with(*EMB_KNN) + KNN_OUT,
     "knn_nndescent": _with(*EMB_KNN) + KNN_OUT,
+    "knn_nndescent_documents": _with(DOC, _knn(10, "doc")) + KNN_OUT,
     "knn_exact_copies": _with(DOC, _knn(3, "doc")) + KNN_OUT,
     "knn_overlap": _with(*EMB_KNN, """
 rough_gaps AS (SELECT * FROM lists WHERE chunking = 0),
@@ -230,6 +232,13 @@ st AS (SELECT avg(c[1]) AS m1, avg(c[2]) AS m2, avg(c[3]) AS m3, stddev_pop(c[1]
 z AS (SELECT star_id, (c[1] - m1) / s1 AS x, (c[2] - m2) / s2 AS y, (c[3] - m3) / s3 AS w FROM pts, st),
 near AS (SELECT a.star_id, sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.w - b.w) ^ 2) AS r FROM z a JOIN z b ON a.star_id <> b.star_id)""") + f"""
         SELECT star_id, {_r('r', 5)} AS r FROM near QUALIFY row_number() OVER (PARTITION BY star_id ORDER BY r) = 20""",
+    "density_draw": _with(COORD3, """
+st AS (SELECT avg(c[1]) AS m1, avg(c[2]) AS m2, avg(c[3]) AS m3, stddev_pop(c[1]) AS s1, stddev_pop(c[2]) AS s2, stddev_pop(c[3]) AS s3 FROM pts),
+z AS (SELECT star_id, (c[1] - m1) / s1 AS x, (c[2] - m2) / s2 AS y, (c[3] - m3) / s3 AS w FROM pts, st),
+near AS (SELECT a.star_id, sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.w - b.w) ^ 2) AS r FROM z a JOIN z b ON a.star_id <> b.star_id),
+spacing AS (SELECT star_id, r FROM near QUALIFY row_number() OVER (PARTITION BY star_id ORDER BY r) = 20)""") + """
+        SELECT star_id FROM spacing
+        ORDER BY -ln((CAST('0x' || substr(md5('0:' || star_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496) / r ^ 0.75, star_id LIMIT 50""",
     "heldout_rows": "SELECT doc_id AS star_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "label_error": _with(LABELS) + f"SELECT axis, {_r(ERR)} AS err FROM scored GROUP BY axis",
     "label_r2": _with(LABELS) + f"""SELECT axis, {_r(ERR)} AS err, {_r('1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*))')} AS r2

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.arrays import lists, map_batches
 from .spectra import coerce
 
-EMB_PIXELS, EVT_DAYS = 64, 30
+EMB_PIXELS = 64
 EMB_SEGMENTS = [0] * 32 + [1] * 32
-EVT_SEGMENTS = [0] * EVT_DAYS
 DOC_SEGMENTS = [0] * 26
 
 
@@ -34,22 +33,25 @@ def coordinates(spark: SparkSession, path: str, d: int) -> DataFrame:
     return df.select(F.col("vec_id").alias("star_id"), F.slice("embedding", 1, d).cast("array<double>").alias("c"))
 
 
-def event_days(spark: SparkSession, path: str) -> DataFrame:
-    """Each user's mean event value per day as a 30-pixel profile; days without events are bad pixels.
+def event_days(spark: SparkSession, path: str) -> tuple[DataFrame, list[int]]:
+    """Each user's mean event value per day as a profile over the days of the table, in one segment; days without events
+    are bad pixels. Depths are shares of the largest daily mean.
 
     Values have two decimals, so they are summed as integers and the mean does not depend on their order.
     """
-    df = spark.read.parquet(f"{path}/events.parquet")
-    day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    df = spark.read.parquet(f"{path}/events.parquet").select("user_id", F.to_date("ts").alias("date"), "value")
+    begin, end = df.agg(F.min("date"), F.max("date")).first()
+    days = (end - begin).days + 1 if begin else 0
     cents = F.floor(F.col("value") * 100 + 0.5)
-    daily = (df.select("user_id", day.alias("day"), cents.alias("cents")).where(F.col("day").between(0, EVT_DAYS - 1))
+    daily = (df.select("user_id", F.date_diff("date", F.lit(begin)).alias("day"), cents.alias("cents"))
              .groupBy("user_id", "day").agg((F.sum("cents") / F.count("cents") / 100).alias("mean")))
-    flux = 1 - F.lit(0.9) * F.least("mean", F.lit(250.0)) / 250
+    top = daily.agg(F.max("mean")).first()[0] or 1.0
+    flux = 1 - F.lit(0.9) * F.col("mean") / F.lit(float(top))
     series = daily.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("day", flux.alias("f")))).alias("m"))
     return coerce(series.select(
         F.col("user_id").alias("star_id"),
-        _indexed(EVT_DAYS, lambda p: F.col("m")[p]).alias("flux"),
-        _indexed(EVT_DAYS, lambda p: F.col("m")[p].isNotNull()).alias("good")))
+        _indexed(days, lambda p: F.col("m")[p]).alias("flux"),
+        _indexed(days, lambda p: F.col("m")[p].isNotNull()).alias("good"))), [0] * days
 
 
 def letter_counts(texts: pa.Array) -> np.ndarray:
