@@ -25,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -37,11 +38,11 @@ WINDOW = 20
 ANCHOR = 8
 SKETCH_BITS = 16
 #: Bytes of text in which equal pieces are collapsed.
-SLICE = 1 << 23
+SLICE = 1 << 21
 #: Rows of a block's windows that are factored in one go.
 WINDOWS_AT_ONCE = 1 << 20
-#: Duplicate spans are broadcast up to so many documents; beyond, both sides are shuffled.
-BROADCAST_ROWS = 300_000
+#: Spans are broadcast up to so many documents and limits together; beyond, both sides are shuffled.
+BROADCAST_NUMBERS = 1_000_000
 _LAST = 2**63 - 1
 
 
@@ -66,8 +67,8 @@ def _frequencies(texts: DataFrame, anchor: int, window: int) -> np.ndarray:
 
     counted = texts.select("text").mapInArrow(stage, "counters array<long>").select(F.posexplode("counters").alias("at", "n"))
     out = np.zeros(1 << SKETCH_BITS)
-    for r in counted.groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[r["at"]] = r["n"]
+    table = counted.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out[table.column("at").to_numpy()] = table.column("n").to_numpy()
     return np.log2(out + 1).astype(np.uint64)
 
 
@@ -194,23 +195,45 @@ def _factors(pieces: DataFrame) -> DataFrame:
     return dealt.mapInArrow(stage, "doc long, place int, count int")
 
 
-def _kept(words: list[bytes], spans: list[dict] | None, window: int) -> list[bytes]:
-    if not spans:
+def _covered(factors: DataFrame, window: int) -> DataFrame:
+    """(doc, spans): the words that a document's factors cover, as ascending begin, end, begin, end …"""
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for factors in batch.column("factors").to_pylist():
+                spans: list[int] = []
+                for f in sorted((x["place"], x["count"]) for x in factors):
+                    begin, end = f[0], f[0] + f[1] + window - 1
+                    if spans and begin <= spans[-1]:
+                        spans[-1] = max(spans[-1], end)
+                    else:
+                        spans += [begin, end]
+                out.append(spans)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.list_(pa.int32()))], ["doc", "spans"])
+
+    listed = factors.groupBy("doc").agg(F.collect_list(F.struct("place", "count")).alias("factors"))
+    return listed.mapInArrow(stage, "doc long, spans array<int>")
+
+
+def _kept(words: list[bytes], spans: list[int] | None) -> list[bytes]:
+    if spans is None:
         return words
-    gone = np.zeros(len(words) + 1, np.int64)
-    for s in spans:
-        if s["place"] < len(words):
-            gone[s["place"]] += 1
-            gone[min(len(words), s["place"] + s["count"] + window - 1)] -= 1
-    return [x for x, g in zip(words, np.cumsum(gone[:-1]).tolist(), strict=True) if not g]
+    kept: list[bytes] = []
+    at = 0
+    for begin, end in zip(spans[::2], spans[1::2], strict=True):
+        kept += words[at:begin]
+        at = end
+    return kept + words[at:]
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     levels = _frequencies(texts, anchor, window)
     factors = _factors(_piece_rows(texts, levels, anchor, window))
-    spans = cut(factors.groupBy("doc").agg(F.collect_list(F.struct("place", "count")).alias("spans")))
-    found = F.broadcast(spans) if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else spans
+    spans = cut(_covered(factors, window))
+    rows, numbers = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    found = F.broadcast(spans) if rows + (numbers or 0) <= BROADCAST_NUMBERS else spans
     return texts.join(found, F.coalesce("id", F.lit(_LAST)) == F.col("doc"), "left").select("id", "text", "spans")
 
 
@@ -218,9 +241,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, text): what is left of each text, its words joined by one space."""
 
     @F.pandas_udf("string")
-    def rest(parts: Iterator) -> Iterator:
-        for text, spans in parts:
-            yield text.combine(spans, lambda t, s: b" ".join(_kept((t or "").encode().split(), s, window)).decode())
+    def rest(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([b" ".join(_kept((t or "").encode().split(), None if s is None else list(s))).decode() for t, s in zip(text, spans, strict=True)])
 
     found = _with_spans(docs, id_col, text_col, window, anchor)
     return found.select(F.col("id").alias(id_col), rest("text", "spans").alias(text_col))
@@ -235,7 +257,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                 # bytes.split() cuts at ASCII white space only
                 words = (text.as_py() or "").encode().split()
-                kept = _kept(words, spans.as_py(), window)
+                kept = _kept(words, spans.as_py())
                 n.append(len(words))
                 gone.append(len(words) - len(kept))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
