@@ -43,5 +43,5 @@ def test_fit_end_to_end(spark, table, tmp_path):
 
 
 def test_fit_rejects_unknown_continuum(spark):
-    with pytest.raises(ValueError, match="unknown continuum"):
+    with pytest.raises(ValueError, match="spline"):
         fit(from_arrays(spark, np.ones((4, 8))), [0] * 8, Config(continuum="spline"), log=None)
