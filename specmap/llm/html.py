@@ -264,11 +264,11 @@ def fit(shapes: np.ndarray, content: np.ndarray, ridge: float = 1e-2, rounds: in
     return w
 
 
-def train(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_PAGES) -> np.ndarray:
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = FIT_PAGES) -> np.ndarray:
     """Weights of the shape, from blocks of about `fit_pages` pages that a telling ancestor labels."""
     share = min(1.0, fit_pages / max(1, pages.count()))
     text = F.col(html_col).cast("string")
-    drawn = pages.filter(F.pmod(F.xxhash64(text, F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).select(text.alias("html"))
+    drawn = pages.filter(F.pmod(F.xxhash64(F.col(id_col), text, F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).select(text.alias("html"))
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
