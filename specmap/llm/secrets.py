@@ -27,8 +27,10 @@ KINDS = ("assign", "access", "hex", "markov")
 _FIXED = {"assign": (_ASSIGN, 6), "access": (_ACCESS, 20), "hex": (_HEX, 24)}
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _NONE = "array<struct<start:int,finish:int,rank:int,value:string>>"
-#: At most so many texts of either label (those of least hash) teach the models.
-FIT_TEXTS = 4_000
+#: About so many texts (those whose hash falls below a share) are searched for random strings, and for ordinary ones.
+RANDOM_TEXTS, ORDINARY_TEXTS = 200_000, 4_000
+#: Bounds of what one step adds to the log-likelihood ratio.
+STEP = (-3.0, 1.5)
 #: Characters that the models tell apart.
 _SIZE = 128
 
@@ -84,17 +86,17 @@ def _steps(runs: DataFrame) -> DataFrame:
     return codes.select(F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
 
 
-def train(docs: DataFrame, text_col: str = "text", fit_texts: int = FIT_TEXTS) -> Models:
-    """Both models from at most `fit_texts` texts of each label, least hash first.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", random_texts: int = RANDOM_TEXTS, ordinary_texts: int = ORDINARY_TEXTS) -> Models:
+    """Both models, from about `random_texts` texts for random strings and `ordinary_texts` for ordinary ones.
 
     Random strings lean on a uniform distribution and ordinary ones on their single-character frequencies where a
     context was seen rarely, so characters that a sample lacks still tell the two apart. The tables that reach the driver
     have at most 128 * 128 rows."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(text.alias("text"))
-    first = lambda d: d.orderBy(F.xxhash64("text"), "text").limit(fit_texts)
-    hits = first(texts.filter(may_have(F.col("text")))).select(F.explode(fixed_spans(F.col("text"))).alias("s")).select(F.col("s.value").alias("run"))
-    plain = first(texts.filter(~may_have(F.col("text")))).select(F.explode(F.regexp_extract_all("text", F.lit(rf"({_RUN}{{8,}})"), 1)).alias("run"))
+    texts = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(3)), F.lit(1 << 30)).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    total = max(1, docs.count())
+    drawn = lambda n: texts.filter(F.col("h") < int(min(1.0, n / total) * (1 << 30))).select("text")
+    hits = drawn(random_texts).filter(may_have(F.col("text"))).select(F.explode(fixed_spans(F.col("text"))).alias("s")).select(F.col("s.value").alias("run"))
+    plain = drawn(ordinary_texts).filter(~may_have(F.col("text"))).select(F.explode(F.regexp_extract_all("text", F.lit(rf"({_RUN}{{8,}})"), 1)).alias("run"))
     table = lambda runs: {(r["a"], r["b"]): r["n"] for r in _steps(runs).collect() if r["a"] < _SIZE and r["b"] < _SIZE}
     random, ordinary = table(hits), table(plain)
     if not random or not ordinary:
@@ -114,7 +116,9 @@ def train(docs: DataFrame, text_col: str = "text", fit_texts: int = FIT_TEXTS) -
     ratios = [0.0] * _SIZE**2
     for a in alphabet:
         for b in alphabet:
-            ratios[a * _SIZE + b] = log_random[a, b] - log_ordinary[a, b]
+            # separators say nothing, and no single step decides
+            if chr(a).isalnum() and chr(b).isalnum():
+                ratios[a * _SIZE + b] = min(STEP[1], max(STEP[0], log_random[a, b] - log_ordinary[a, b]))
     return Models(tuple(ratios))
 
 
