@@ -32,7 +32,7 @@ FEATURES = {
     "digits": ("n_digits", "word_chars"), "exclaims": ("n_exclaim", "n_words"), "bars": ("n_bars", "n_words"),
     "line_words": ("n_words", "n_lines"),
 }
-#: At most so many labelled rows (those of least hash) teach the list.
+#: About so many labelled rows (those whose hash falls below a share) teach the list.
 FIT_ROWS = 20_000
 
 
@@ -207,11 +207,12 @@ def learn(x: dict[str, np.ndarray], low: np.ndarray, held: np.ndarray, precision
 
 
 def learn_from(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", grade: str = "quality", fit_rows: int = FIT_ROWS) -> list[Rule]:
-    """The list learned from at most `fit_rows` labelled rows (least hash first) that pass the base rule."""
+    """The list learned from about `fit_rows` labelled rows that pass the base rule."""
     known = labels.select(F.col(id_col).alias("_label_id"), F.col(grade).alias("_grade")).filter("_grade IS NOT NULL AND _label_id IS NOT NULL")
-    joined = stats.filter(~base_failed()).join(known, F.col(id_col) == F.col("_label_id"))
-    order = F.xxhash64("_label_id", F.lit(7))
-    rows = joined.select(order.alias("_order"), "_grade", *(_feature(k).alias(k) for k in FEATURES)).orderBy("_order").limit(fit_rows).collect()
+    order = F.pmod(F.xxhash64("_label_id", F.lit(7)), F.lit(1 << 30))
+    drawn = known.filter(order < int(min(1.0, fit_rows / max(1, known.count())) * (1 << 30)))
+    joined = stats.filter(~base_failed()).join(drawn, F.col(id_col) == F.col("_label_id"))
+    rows = joined.select(order.alias("_order"), "_grade", *(_feature(k).alias(k) for k in FEATURES)).orderBy("_order", *FEATURES).collect()
     low = np.array([r["_grade"] == 0 for r in rows], bool)
     held = np.array([r["_order"] % 3 == 0 for r in rows], bool)
     return learn({k: np.array([r[k] for r in rows], float) for k in FEATURES}, low, held) if len(rows) else []
