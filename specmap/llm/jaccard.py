@@ -5,15 +5,16 @@ it. Texts link when 100 * intersection >= share * union. Steps:
 
 1. Texts with equal sets are one node, named by their smallest id: copies are grouped by a 128-bit digest, never paired.
 2. Shingles are put in one global order, rare before frequent. How frequent they are is counted over all texts in a
-   table of 65,536 counters (each shingle adds to the counter of its hash), so its size is fixed. The order decides
+   table of 262,144 counters (each shingle adds to the counter of its hash), so its size is fixed. The order decides
    only how much work there is, not which pairs are found.
 3. Two texts that link share a shingle in the first n - ceil(share * n) + 1 of each (the prefix). Prefix shingles become
    keys; keys with one text are dropped.
-4. Pairs under a key pass the length filter, then once per pair the positional filter (places of the first shared
-   shingle) and the suffix filter (sixteen counters of either set bound the overlap), and are verified once by their sets.
-5. A group is not expanded into its pairs. Some rounds pair every text with one text of the key; found links join
-   components; keys inside one component are done. At the end the pairs that still lie across components are verified,
-   all of them, so no link between components is missed.
+4. Pairs under a key of few texts pass the length filter, then once per pair the positional filter (places of the first
+   shared shingle) and the suffix filter, and are verified once by their sets. The suffix filter bounds the Hamming
+   distance of two sets from below by that of their parities: each shingle flips one of 256 bits.
+5. Keys of many texts are not expanded into their pairs. Rounds pair every text with one text of the key; found links join
+   components; keys inside one component are done. When rounds find little more, the pairs that still lie across
+   components are verified, all of them, with the suffix filter inside the join; so no link between components is missed.
 
 Cases: null and empty texts have no shingle, link with nothing and are their own component; a null id stays null and is
 not linked; different texts under one id count as one document; an empty table gives an empty one; other
@@ -30,16 +31,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specmap.llm.words import Words, slices, whole_windows, window_hash
-from specmap.operators.graph import components
 from specmap.session import cut
 
 #: Leading bits of a shingle's hash that choose its counter.
-SKETCH_BITS = 16
-BINS = 16
-#: Rounds in which each text of a key is paired with one other before what is left is paired in full.
-STARS = 3
+SKETCH_BITS = 18
+#: Words of 64 parity bits.
+PARITY = 4
+#: Texts under a key up to which all its pairs are looked at.
+GROUP = 8
+#: Rounds go on while they link at least this share of the texts under open keys.
+PROGRESS = 0.05
 #: Ids are broadcast up to so many rows; beyond, both sides are shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -63,27 +66,34 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of how many shingles hash to it."""
+    odd = np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+_BITS = [f"p{i}" for i in range(PARITY)]
+
+
 def _surveyed(texts: DataFrame, k: int) -> DataFrame:
-    """Per text its set size, digest and bins; per task one row with its counters."""
+    """Per text its set size, digest and parities; per task one row with its counters."""
+    names = ["id", "n", "digest", *_BITS, "counter", "times"]
+    lists = pa.list_(pa.int32())
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
-                sizes, digests, bins = [], [], []
-                for s in shingle_sets(data, offsets, k):
-                    sizes.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    bins.append(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).tolist())
-                    np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                n = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(bins, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))],
-                    ["id", "n", "digest", "bins", "counters"],
-                )
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int32())), pa.array([sketch.tolist()], pa.list_(pa.int64()))], ["id", "n", "digest", "bins", "counters"])
-
-    return texts.mapInArrow(stage, "id long, n int, digest binary, bins array<int>, counters array<long>")
+                sets = list(shingle_sets(data, offsets, k))
+                sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                sizes = pa.array([len(s) for s in sets], pa.int32())
+                digests = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+                bits = np.array([_parities(s) for s in sets]).T
+                yield pa.RecordBatch.from_arrays([rows.column("id"), sizes, digests, *(pa.array(np.ascontiguousarray(x)) for x in bits), pa.nulls(len(sets), lists), pa.nulls(len(sets), lists)], names)
+        used = np.flatnonzero(sketch)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *(pa.nulls(1, pa.int64()) for _ in _BITS), *(pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), pa.array(x.astype(np.int32))) for x in (used, sketch[used]))], names)
+
+    return texts.mapInArrow(stage, "id long, n int, digest binary, " + ", ".join(f"{b} long" for b in _BITS) + ", counter array<int>, times array<int>")
 
 
 def _prefixes(texts: DataFrame, k: int, share: int, counters: np.ndarray) -> DataFrame:
@@ -134,11 +144,21 @@ def _long_enough(a: Column, b: Column, share: int) -> Column:
     return 100 * F.least(a, b) >= share * F.greatest(a, b)
 
 
+def _close(share: int, other: str) -> Column:
+    """The suffix filter on columns n and parities, and those of the other side."""
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(other + b))) for b in _BITS), F.lit(0))
+    return (100 + share) * apart <= (100 - share) * (F.col("n") + F.col(other + "n"))
+
+
 def _candidates(left: DataFrame, right: DataFrame, share: int) -> DataFrame:
-    """(a, b): pairs across components under a shared key that pass the length and the positional filter, once each."""
-    r = right.select("key", *(F.col(c).alias(f"_{c}") for c in ("id", "n", "pos", "label")))
+    """(a, b, na, nb): pairs across components under a shared key that pass the length and the positional filter, and the
+    suffix filter where the sides have parities; once each."""
+    r = right.select("key", *(F.col(c).alias(f"_{c}") for c in right.columns if c != "key"))
     near = F.least("pos", "_pos") + 1 + F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) - 1
-    met = left.join(r, "key").filter((F.col("label") != F.col("_label")) & _long_enough(F.col("n"), F.col("_n"), share) & _enough(near, F.col("n"), F.col("_n"), share))
+    fit = (F.col("label") != F.col("_label")) & _long_enough(F.col("n"), F.col("_n"), share) & _enough(near, F.col("n"), F.col("_n"), share)
+    if _BITS[0] in left.columns:
+        fit = fit & _close(share, "_")
+    met = left.withColumnRenamed("key", "k").join(r, (F.col("k") == F.col("key")) & fit)
     swap = F.col("id") > F.col("_id")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     pairs = met.select(pick("id", "_id").alias("a"), pick("_id", "id").alias("b"), pick("n", "_n").alias("na"), pick("_n", "n").alias("nb"), (pick("pos", "_pos").cast("long") * 2**32 + pick("_pos", "pos")).alias("places"))
@@ -147,71 +167,97 @@ def _candidates(left: DataFrame, right: DataFrame, share: int) -> DataFrame:
     return once.filter(_enough(F.least(F.col("na") - at_a, F.col("nb") - at_b), F.col("na"), F.col("nb"), share)).select("a", "b", "na", "nb")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs that link; the suffix filter comes before the sets are fetched."""
-    bins = lambda side: nodes.select(F.col("id").alias(side), F.col("bins").alias(f"bins_{side}"))
-    most = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    held = pairs.join(bins("a"), "a").join(bins("b"), "b").filter(_enough(most, F.col("na"), F.col("nb"), share)).select("a", "b", "na", "nb")
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame:
+    """The pairs that link; the suffix filter decides which sets are made at all."""
+    bits = lambda side, mark: nodes.select(F.col("id").alias(side), *(F.col(x).alias(mark + x) for x in _BITS))
+    known = pairs.join(bits("a", ""), "a").join(bits("b", "_"), "b").withColumn("n", F.col("na")).withColumn("_n", F.col("nb"))
+    held = cut(known.filter(_close(share, "_")).select("a", "b", "na", "nb"))
+    ids = cut(held.select(F.col("a").alias("id")).union(held.select("b")).distinct())
+    sets = cut(_sets(texts.join(_small(ids), "id", "left_semi"), k))
     whole = lambda side: sets.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}"))
     both = held.join(whole("a"), "a").join(whole("b"), "b")
-    return both.filter(_enough(F.size(F.array_intersect("set_a", "set_b")), F.col("na"), F.col("nb"), share)).select("a", "b")
+    return both.filter(_enough(F.size(F.array_intersect("set_a", "set_b")), F.col("na"), F.col("nb"), share)).select("a", "b").distinct()
+
+
+def _smallest(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that each node reaches over edges (a, b). Every round takes the smallest label
+    around and then the label of that label, so a long chain halves each round."""
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
+    while True:
+        around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        above = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        moved = cut(near.join(above, "label").select("node", "old", F.least("label", "up").alias("label")))
+        labels = moved.select("node", "label")
+        if moved.filter("label < old").isEmpty():
+            return labels
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """`labels` after its components are joined by `links`."""
     name = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
-    edges = links.join(name("a"), "a").join(name("b"), "b").select(F.col("la").alias("src"), F.col("lb").alias("dst")).filter("src <> dst").distinct()
-    edges = cut(edges)
-    nodes = edges.select(F.col("src").alias("star_id")).union(edges.select("dst")).distinct()
-    merged = components(nodes, edges).select(F.col("star_id").alias("label"), "comp")
-    return cut(labels.join(merged, "label", "left").select("id", F.coalesce("comp", "label").alias("label")))
+    edges = links.join(name("a"), "a").join(name("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b")
+    merged = _smallest(edges).select(F.col("node").alias("label"), F.col("label").alias("merged"))
+    return cut(labels.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label")))
 
 
 def node_labels(docs: DataFrame, id_col: str, text_col: str, k: int, share: int) -> tuple[DataFrame, DataFrame]:
     """((id, n, digest) per row, (digest, n, label) per distinct set that has shingles)."""
     texts = _plain(docs, id_col, text_col)
     surveyed = cut(_surveyed(texts, k))
-    rows = surveyed.filter("digest IS NOT NULL").select("id", "n", "digest", "bins")
-    counted = surveyed.filter("counters IS NOT NULL").select(F.posexplode("counters").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
+    rows = surveyed.filter("digest IS NOT NULL").drop("counter", "times")
+    pairs = surveyed.filter("counter IS NOT NULL").select(F.explode(F.arrays_zip("counter", "times")).alias("x"))
+    counted = pairs.groupBy(F.col("x.counter").alias("at")).agg(F.sum("x.times").alias("n")).toArrow()
     counters = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in counted:
-        counters[r["at"]] = r["n"]
+    counters[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
     named = rows.filter("n > 0 AND id IS NOT NULL")
-    nodes = cut(named.groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("bins").alias("bins")))
-    # a row stands for its node if it has the node's smallest id; rows that repeat an id are told apart by their digest
-    unique = texts.join(_small(nodes.select("id")), "id", "left_semi")
+    nodes = cut(named.groupBy("digest", "n").agg(F.min("id").alias("id"), *(F.min(x).alias(x) for x in _BITS)))
+    # all rows but copies of a node's own row: these are fewer than the nodes
+    spare = named.join(nodes.select("digest", F.col("id").alias("node")), "digest").filter("id <> node").select("id").distinct()
+    spare = cut(spare.join(nodes.select("id"), "id", "left_anti"))
+    unique = texts.filter("id IS NOT NULL").join(_small(spare), "id", "left_anti")
+    if not named.groupBy("id").count().filter("count > 1").isEmpty():
+        unique = unique.dropDuplicates(["id", "text"])
     raw = _prefixes(unique, k, share, counters)
-    shared = raw.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
-    index = cut(raw.join(shared, "key").withColumn("label", F.col("id")))
+    shared = raw.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("members"))
+    index = cut(raw.join(shared.filter("low < high").select("key", "members"), "key").withColumn("label", F.col("id")))
     labels = cut(index.select("id").distinct().withColumn("label", F.col("id")))
-    sets = cut(_sets(unique.join(_small(labels.select("id")), "id", "left_semi"), k).dropDuplicates(["id", "set"]))
-    small_nodes = nodes.join(labels.select("id"), "id", "left_semi").select("id", "bins")
-    checked = None
-    live = index
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            order = live.withColumn("h", F.xxhash64("id", F.lit(turn)))
-            least = order.groupBy("key").agg(F.min("h").alias("h"))
-            right = order.join(least, ["key", "h"]).drop("h")
-        else:
-            right = live
-        pairs = _candidates(live, right, share)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        links = cut(_verified(pairs, small_nodes, sets, share))
-        if not links.isEmpty():
-            labels = _relabelled(labels, links)
-        if turn == STARS:
-            break
-        checked = pairs.select("a", "b") if checked is None else checked.union(pairs.select("a", "b"))
+    few = index.filter(F.col("members") <= GROUP).drop("members")
+    checked = cut(_candidates(few, few, share))
+    links = cut(_verified(checked, nodes, unique, k, share))
+    if not links.isEmpty():
+        labels = _relabelled(labels, links)
+    many = index.filter(F.col("members") > GROUP).drop("members", "label")
+    if not many.isEmpty():
+        labels = _many(many, labels, nodes, checked, unique, k, share)
+    of_node = nodes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("label"))
+    return rows.select("id", "n", "digest"), of_node
+
+
+def _many(index: DataFrame, labels: DataFrame, nodes: DataFrame, checked: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame:
+    """`labels` after all links under keys of many texts are found."""
+    live, turn, last = index.join(nodes.select("id", *_BITS), "id"), 0, False
+    while True:
         labelled = live.drop("label").join(labels, "id")
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
         live = cut(labelled.join(open_keys, "key"))
-        if live.isEmpty():
-            break
-    of_node = nodes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("label"))
-    return rows.select("id", "n", "digest"), of_node
+        texts_left = live.select("id").distinct().count()
+        if not texts_left:
+            return labels
+        right = live
+        if not last:
+            order = live.withColumn("h", F.xxhash64("id", F.lit(turn)))
+            right = order.join(order.groupBy("key").agg(F.min("h").alias("h")), ["key", "h"]).drop("h")
+        pairs = cut(_candidates(live, right, share).join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        links = cut(_verified(pairs, nodes, texts, k, share))
+        if not links.isEmpty():
+            labels = _relabelled(labels, links)
+        if last:
+            return labels
+        checked = checked.select("a", "b").union(pairs.select("a", "b"))
+        last = links.count() < PROGRESS * texts_left
+        turn += 1
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, share: int = 85) -> DataFrame:
