@@ -78,6 +78,17 @@ def test_rare_words_are_joined_and_rare_contexts_are_lost(docs):
     check(docs.limit(30), 1e-3)
 
 
+def test_rare_ngrams_keep_their_counts(spark, docs):
+    """A larger corpus whose bulk shares no n-gram with a text leaves its counts whole; what is broadcast changes nothing."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.limit(25).collect()]
+    table = spark.createDataFrame([*rows, *((10_000 + i, "~" * 40_000) for i in range(40))], "doc_id long, text string")
+    model = Brute([t for i, t in rows if not held(i)] + ["~" * 40_000] * sum(not held(10_000 + i) for i in range(40)), 4, 0)
+    for more in ({}, {"spread": 1e-3}, {"spread": 2.0}):
+        got = {r["doc_id"]: r["score"] for r in lm.score(table, **more).collect()}
+        for i, t in rows:
+            assert got[i] == pytest.approx(model.score(t), rel=1e-9)
+
+
 def test_probabilities_sum_to_one(texts):
     rows = list(texts.values())[:10]
     model = Brute(rows, 3, 1e-3)
