@@ -16,7 +16,8 @@ further left) is a duplicate, and every word it covers goes. The parse works on
 Windows are compared by two 64-bit hashes, of the anchor and of all twenty words.
 
 Cases: null and empty texts have no words; texts of fewer than 20 words lose none; documents with a null id come last, in
-no order among themselves, and are the earlier occurrence for nobody; rows that repeat an id are the same document, and
+no order among themselves, and are the earlier occurrence for nobody (a hash of their text tells them apart: equal texts
+lose the same words); rows that repeat an id are the same document, and
 equal starts in it are not earlier than each other; an empty table gives an empty one; other columns are ignored.
 """
 from __future__ import annotations
@@ -49,7 +50,7 @@ _LAST = 2**63 - 1
 def _ordered(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Rows by id, null as the last."""
     ids = pc.fill_null(batch.column("id"), _LAST)
-    return pa.RecordBatch.from_arrays([ids, batch.column("text")], ["id", "text"]).take(pc.array_sort_indices(ids))
+    return pa.RecordBatch.from_arrays([ids, batch.column("key"), batch.column("text")], ["id", "key", "text"]).take(pc.array_sort_indices(ids))
 
 
 def _frequencies(texts: DataFrame, anchor: int, window: int) -> np.ndarray:
@@ -101,13 +102,13 @@ def _piece_rows(texts: DataFrame, levels: np.ndarray, anchor: int, window: int)
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(_ordered(batch), "text", SLICE):
-                ids = rows.column("id").to_numpy(zero_copy_only=False)
+                ids, keys = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
                 w = Words(data, offsets)
                 block, first, count, hashes = _pieces(w, levels, anchor, window)
                 if not len(block):
                     continue
                 text = np.searchsorted(w.first, first, "right") - 1
-                doc, place = ids[text], (first - w.first[text]).astype(np.int32)
+                doc, key, place = ids[text], keys[text], (first - w.first[text]).astype(np.int32)
                 # the first and the last window of a piece hold all its words
                 content = mix(hashes[first] ^ mix(hashes[first + count - 1] + mix(block + count.astype(np.uint64))))
                 order = np.argsort(content, kind="stable")
@@ -116,23 +117,24 @@ def _piece_rows(texts: DataFrame, levels: np.ndarray, anchor: int, window: int)
                 head = np.empty(len(order), np.int64)
                 head[order] = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
                 sent = head == np.arange(len(order))
-                sent |= doc == _LAST
-                later = ~sent & ((doc != doc[head]) | (place != place[head]))
+                other = (doc != doc[head]) | (key != key[head]) | (place != place[head])
+                sent |= other & (doc[head] == _LAST)
+                later = ~sent & other
                 sizes = count[sent]
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 inside = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes) + np.repeat(first[sent], sizes)
                 packed = pa.Array.from_buffers(pa.binary(), int(sent.sum()), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(hashes[inside]))])
-                names = ["block", "doc", "place", "count", "hashes"]
-                yield pa.RecordBatch.from_arrays([pa.array(block[sent].view(np.int64)), pa.array(doc[sent]), pa.array(place[sent]), pa.array(sizes.astype(np.int32)), packed], names)
+                names = ["block", "doc", "key", "place", "count", "hashes"]
+                yield pa.RecordBatch.from_arrays([pa.array(block[sent].view(np.int64)), pa.array(doc[sent]), pa.array(key[sent]), pa.array(place[sent]), pa.array(sizes.astype(np.int32)), packed], names)
                 if later.any():
-                    spread = mix(doc[later].astype(np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(doc[later]), pa.array(place[later]), pa.array(count[later].astype(np.int32)), pa.nulls(int(later.sum()), pa.binary())], names)
+                    spread = mix((doc[later] ^ key[later]).view(np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(doc[later]), pa.array(key[later]), pa.array(place[later]), pa.array(count[later].astype(np.int32)), pa.nulls(int(later.sum()), pa.binary())], names)
 
-    return texts.mapInArrow(stage, "block long, doc long, place int, count int, hashes binary")
+    return texts.mapInArrow(stage, "block long, doc long, key long, place int, count int, hashes binary")
 
 
-def _factored(blocks: np.ndarray, doc: np.ndarray, place: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Factors (doc, place, count): runs of windows that stand earlier in their block. Rows come by block, doc, place."""
+def _factored(blocks: np.ndarray, doc: np.ndarray, keys: np.ndarray, place: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Factors (doc, key, place, count): runs of windows that stand earlier in their block. Rows come by block, doc, place."""
     row = np.repeat(np.arange(len(count)), count)
     ends = np.cumsum(count)
     inside = np.arange(len(row)) - np.repeat(ends - count, count)
@@ -150,14 +152,14 @@ def _factored(blocks: np.ndarray, doc: np.ndarray, place: np.ndarray, count: np.
     closes = again.copy()
     closes[:-1] &= ~again[1:] | (row[1:] != row[:-1])
     a, b = np.flatnonzero(begins), np.flatnonzero(closes)
-    return at_doc[a], at[a], b - a + 1
+    return at_doc[a], keys[row[a]], at[a], b - a + 1
 
 
 def _factors(pieces: DataFrame) -> DataFrame:
-    """(doc, place, count): all duplicate spans, in windows."""
+    """(doc, key, place, count): all duplicate spans, in windows."""
 
-    def out(doc: np.ndarray, place: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))], ["doc", "place", "count"])
+    def out(doc: np.ndarray, key: np.ndarray, place: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))], ["doc", "key", "place", "count"])
 
     def parsed(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table.num_rows:
@@ -166,7 +168,7 @@ def _factors(pieces: DataFrame) -> DataFrame:
                 packed = pa.concat_arrays(packed.chunks)
             col = lambda c: table.column(c).to_numpy()
             hashes = np.frombuffer(b"".join(packed.to_pylist()), np.uint64)
-            yield out(*_factored(col("block"), col("doc"), col("place").astype(np.int64), col("count").astype(np.int64), hashes))
+            yield out(*_factored(col("block"), col("doc"), col("key"), col("place").astype(np.int64), col("count").astype(np.int64), hashes))
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -174,7 +176,7 @@ def _factors(pieces: DataFrame) -> DataFrame:
         for batch in batches:
             known = batch.filter(pc.is_null(batch.column("hashes")))
             if known.num_rows:
-                yield out(*(known.column(c).to_numpy() for c in ("doc", "place", "count")))
+                yield out(*(known.column(c).to_numpy() for c in ("doc", "key", "place", "count")))
             batch = batch.filter(pc.is_valid(batch.column("hashes")))
             if not batch.num_rows:
                 continue
@@ -192,11 +194,11 @@ def _factors(pieces: DataFrame) -> DataFrame:
             yield from parsed(pa.Table.from_batches(held))
 
     dealt = pieces.repartition("block").sortWithinPartitions("block", "doc", "place")
-    return dealt.mapInArrow(stage, "doc long, place int, count int")
+    return dealt.mapInArrow(stage, "doc long, key long, place int, count int")
 
 
 def _covered(factors: DataFrame, window: int) -> DataFrame:
-    """(doc, spans): the words that a document's factors cover, as ascending begin, end, begin, end …"""
+    """(doc, key, spans): the words that a document's factors cover, as ascending begin, end, begin, end …"""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,10 +212,10 @@ def _covered(factors: DataFrame, window: int) -> DataFrame:
                     else:
                         spans += [begin, end]
                 out.append(spans)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.list_(pa.int32()))], ["doc", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(out, pa.list_(pa.int32()))], ["doc", "key", "spans"])
 
-    listed = factors.groupBy("doc").agg(F.collect_list(F.struct("place", "count")).alias("factors"))
-    return listed.mapInArrow(stage, "doc long, spans array<int>")
+    listed = factors.groupBy("doc", "key").agg(F.collect_set(F.struct("place", "count")).alias("factors"))
+    return listed.mapInArrow(stage, "doc long, key long, spans array<int>")
 
 
 def _kept(words: list[bytes], spans: list[int] | None) -> list[bytes]:
@@ -229,12 +231,14 @@ def _kept(words: list[bytes], spans: list[int] | None) -> list[bytes]:
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.withColumn("key", F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
     levels = _frequencies(texts, anchor, window)
     factors = _factors(_piece_rows(texts, levels, anchor, window))
     spans = cut(_covered(factors, window))
     rows, numbers = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
     found = F.broadcast(spans) if rows + (numbers or 0) <= BROADCAST_NUMBERS else spans
-    return texts.join(found, F.coalesce("id", F.lit(_LAST)) == F.col("doc"), "left").select("id", "text", "spans")
+    found = found.withColumnRenamed("key", "doc_key")
+    return texts.join(found, (F.coalesce("id", F.lit(_LAST)) == F.col("doc")) & (F.col("key") == F.col("doc_key")), "left").select("id", "text", "spans")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:

@@ -78,3 +78,17 @@ def test_repeated_rows_are_not_earlier_than_each_other(spark):
     table = spark.createDataFrame([(3, text), (3, text), (4, text), (None, text)], "doc_id long, text string").repartition(4)
     removed = sorted(((r["doc_id"] or 99), r["n_removed"]) for r in substrings.digests(table).collect())
     assert removed == [(3, 0), (3, 0), (4, 40), (99, 40)]
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark, monkeypatch):
+    known, clean, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    copy = " ".join(known.split()[:40])
+    rows = [(1, known), (None, copy + " tail"), (None, clean), (None, other + " " + copy), (None, copy + " tail"), (None, None)]
+    expected = sorted([("", 0), (known, 0), (copy + " tail", 40), (clean, 0), (other + " " + copy, 40), (copy + " tail", 40)])
+    left = {"": "", known: known, copy + " tail": "tail", clean: clean, other + " " + copy: other}
+    for parts in (1, 5):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted(r["text"] for r in substrings.deduplicated(table).collect()) == sorted(left[x] for x, _ in expected)
+        assert sorted(r["n_removed"] for r in substrings.digests(table).collect()) == sorted(n for _, n in expected)
+        monkeypatch.setattr(substrings, "SLICE", 300)
+        monkeypatch.setattr(substrings, "BROADCAST_NUMBERS", 0)
