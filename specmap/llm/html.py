@@ -33,7 +33,9 @@ FIT_PAGES = 2_000
 TELLING, SMOOTH, NEAR = 8.0, 1.0, 3
 
 # HTML elements by role.
-HIDDEN = frozenset("head script style template noscript textarea select iframe svg math object video audio canvas title".split())
+HIDDEN = frozenset("head script style template noscript textarea select iframe svg annotation annotation-xml object video audio canvas title".split())
+#: Hidden elements that end no line.
+INLINE = frozenset("svg annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 "
@@ -53,6 +55,16 @@ CONTENT_WORDS = frozenset("article content post entry story main body text".spli
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: First words of class names that tell a state or a topic, not a role.
+MODIFIERS = frozenset("has is no with without category tag format type".split())
+#: What may stand in a head; the second kind is skipped with its contents.
+_HEAD_VOID, _HEAD = frozenset("base basefont bgsound link meta".split()), frozenset("title style script noscript template".split())
+_HEAD_END = re.compile(r"(?=<body\b)|</head\b[^>]*>?", re.I)
+#: HTML elements that end foreign content.
+_BREAKS_OUT = re.compile(
+    r"(?=<(?:b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|hr|i|img|li|listing|menu|meta|nobr|ol|p|pre|ruby|s|small|span|strong|"
+    r"strike|sub|sup|table|tt|u|ul|var|article|main|section|header|footer|nav|aside)[\s/>])", re.I)
+_INSIDE_SVG = re.compile(r"<(?:foreignObject|desc|title)\b", re.I)
 SHAPE = ("bias", "words", "links", "sentence", "heading", "item", "brief")
 
 
@@ -67,16 +79,66 @@ class Block:
 
 
 def _says(tag: str, attributes: str, inside_article: bool) -> int:
-    """1 content, -1 boilerplate, 0 nothing."""
-    words: set[str] = set()
+    """1 content, -1 boilerplate, 0 nothing. Whole class names of content outrank those of layout; article and main go by
+    their element unless a whole name says otherwise; compound names tell only elsewhere, by their first and last word."""
+    if tag in ("html", "body"):
+        return 0
+    heading = tag == "header" and inside_article
+    if tag in BOILERPLATE and not heading:
+        return -1
+    names: set[str] = set()
     if attributes and "=" in attributes:
         for m in _NAMES.finditer(attributes):
-            words.update(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-    if words & BOILERPLATE_WORDS and tag not in ("html", "body"):
-        return -1
-    if tag in BOILERPLATE and not (tag == "header" and inside_article):
+            names.update((m[1] or m[2] or m[3] or "").lower().split())
+    layout = BOILERPLATE_WORDS - {"header"} if heading else BOILERPLATE_WORDS
+    if names & CONTENT_WORDS:
+        return 1
+    if names & layout:
         return -1
-    return 1 if tag in CONTENT or words & CONTENT_WORDS and tag not in ("html", "body") else 0
+    if tag in CONTENT:
+        return 1
+    says = 0
+    for parts in map(_WORD.findall, names):
+        if not parts or parts[0] in MODIFIERS:
+            continue
+        content = not CONTENT_WORDS.isdisjoint(parts)
+        if {parts[0], parts[-1]} & layout or not content and not layout.isdisjoint(parts):
+            return -1
+        says |= content and layout.isdisjoint(parts)
+    return int(says)
+
+
+def _after_hidden(page: str, tag: str, at: int) -> int:
+    """Where the hidden element whose start tag ends at `at` ends."""
+    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+    if tag == "svg":
+        out = _BREAKS_OUT.search(page, at)
+        if out and (end is None or out.start() < end.start() and not _INSIDE_SVG.search(page, at, out.start())):
+            return out.start()
+    return end.end() if end else len(page)
+
+
+def _after_head(page: str, at: int) -> int:
+    """Where the head ends: at its closing tag, or at the first text or tag that cannot stand in a head."""
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        tag = (m[2] or m[5] or "").lower()
+        if not tag:
+            if m[0][0] != "<" and m[0].strip() or m[0] == "<":
+                return at
+        elif m[1] or m[4]:
+            if tag == "head":
+                return m.end()
+        elif tag in _HEAD:
+            inner = _after_hidden(page, tag, m.end())
+            if inner == len(page) and tag != "script" and (end := _HEAD_END.search(page, m.end())):
+                inner = end.end()
+            at = inner
+            continue
+        elif tag not in _HEAD_VOID:
+            return at
+        at = m.end()
+    return at
 
 
 def blocks(page: str) -> list[Block]:
@@ -123,12 +185,10 @@ def blocks(page: str) -> list[Block]:
                 del stack[depth:]
             continue
         if tag in HIDDEN:
-            if tag not in ("svg", "math"):
+            if tag not in INLINE:
                 flush()
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            if end is None and tag == "head":
-                end = re.compile(r"(?=<body\b)", re.I).search(page, at)
-            at = end.end() if end else size
+            if not (tag in INLINE and (m[3] or m[6] or "").endswith("/")):
+                at = _after_head(page, at) if tag == "head" else _after_hidden(page, tag, at)
             continue
         if tag == "br":
             run.append(" ")

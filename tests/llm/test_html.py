@@ -56,3 +56,18 @@ def test_odd_pages(spark):
     assert all(r["text"] == "" and r["n_chars"] == 0 for r in out if r["page_id"] in (1, 2, 5))
     assert max(r["n_chars"] for r in out) == 5000 * 11 - 2
     assert html.main_text(pages.limit(0), np.zeros(len(html.SHAPE))).count() == 0
+
+
+def test_nothing_of_an_article_is_skipped_unread():
+    got = lambda page: html.extract(page, np.zeros(len(html.SHAPE)))
+    assert got('<article><p>One <svg class="icon"/> two</p><p>Three <math/> four</p><p>Five</p></article>') == "One two\n\nThree four\n\nFive"
+    assert got("<article><p>One <svg><path d='m'></p><p>Two</p></article>") == "One\n\nTwo"
+    assert got("<article><p>One <svg><text>No</text></svg> two</p></article>") == "One two"
+    for head in ("<head><title>No</title>", "<head><meta charset=utf-8><style>p > a{}</style><!-- <p> -->", "<head>", "<head><title>No</head>", "<head><title>No</title></head>"):
+        assert got(f"<html>{head}<article><p>One</p></article>") == "One"
+    assert got("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be.</p></article>") == "Let x=1 be."
+    for tag, names in (("article", "post category-advertising"), ("main", "content has-sidebar"), ("article", "widget-share tag-legal"), ("div", "post type-post tag-search"), ("div", "entry-content")):
+        assert got(f'<{tag} class="{names}"><p>One</p></{tag}><div class="site-header">No</div><footer>No</footer>') == "One"
+    for names in ("sidebar", "cookie-notice", "widget_text", "post-comments", "sidebar-left"):
+        assert got(f'<main><p>One</p><div class="{names}"><p>No</p></div></main>') == "One"
+    assert got('<article><header class="entry-header"><h1>Title</h1></header><p>One</p></article>') == "Title\n\nOne"
