@@ -3,14 +3,17 @@
 Words are runs of letters and digits, lower-cased. Two fixed masks each name six of eight consecutive words; the hash of
 the named words ignores the others. Hashes of test items are joined with those of all texts. Each hit fixes an alignment,
 around which the words are compared: an overlap is a window of thirteen aligned words of which at most two differ. The two
-masks together hit every such window, whichever two words were replaced. Everything is DataFrame functions.
+masks together hit every such window, whichever two words were replaced. Items of eight to twelve words are compared whole,
+again with at most two differing words: they are cut into four parts, and each of six masks names the words of two parts,
+so that any two replaced words leave one mask untouched. Everything is DataFrame functions.
 
-Cases: items of fewer than thirteen words are compared whole, again with at most two differing words, and those of fewer
-than eight words have no seed and overlap nothing; null texts have no words; rows with a null id are not reported;
+Cases: items of fewer than eight words have no seed and overlap nothing; null texts have no words; rows with a null id are not reported;
 repeated rows report a pair once; empty tables report nothing; other columns of either input are ignored.
 """
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
 WINDOW = 13
 DIFFERENT = 2
+#: Masks of a whole item of so many words: each pair of its four parts.
+SHORT = {n: tuple(tuple(k for k in range(n) if k * 4 // n in pair) for pair in combinations(range(4), 2)) for n in range(SPAN, WINDOW)}
 #: A side of a join is broadcast up to so many rows; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -38,6 +43,13 @@ def _seeds(mask: int) -> Column:
     return F.when(F.size("w") >= SPAN, F.transform(places, at)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _short_seeds(n: int, outside: int) -> Column:
+    """(place, seed) of the column `w` under the masks of items of n words, with up to `outside` words beyond an end."""
+    at = lambda i: F.array(*(F.struct(i.alias("place"), F.xxhash64(F.lit(n), F.lit(m), *(F.when(i + k >= 0, F.get("w", i + k)) for k in mask)).alias("seed")) for m, mask in enumerate(SHORT[n])))
+    places = F.sequence(F.lit(-outside), F.size("w") - n + outside)
+    return F.when(F.size("w") >= n - outside, F.flatten(F.transform(places, at)))
+
+
 def _exploded(rows: DataFrame, key: str) -> DataFrame:
     parts = [rows.select(key, F.posexplode(_seeds(m)).alias("place", "seed")) for m in range(len(MASKS))]
     out = parts[0]
@@ -54,12 +66,18 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     """(id, item, n_match, n_window, coverage): pairs that overlap, the most equal words in a window, its length, and the
     share of the item's words that are equal under that alignment."""
     tests = cut(items.select(F.col(item_col).alias("_item"), words(F.col(item_text_col)).alias("w")).filter(F.col("_item").isNotNull() & (F.size("w") >= SPAN)).distinct())
-    seeds = cut(_exploded(tests, "_item").withColumnRenamed("place", "item_place").distinct())
+    short = [r["n"] for r in tests.select(F.size("w").alias("n")).filter(F.col("n") < WINDOW).distinct().collect()]
+    seeds = _exploded(tests.filter(F.size("w") >= WINDOW), "_item")
+    for n in short:
+        seeds = seeds.unionByName(tests.filter(F.size("w") == n).select("_item", F.inline(_short_seeds(n, 0))))
+    seeds = cut(seeds.withColumnRenamed("place", "item_place").distinct())
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_t")).filter("_doc IS NOT NULL AND _t IS NOT NULL")
     each = texts.select("_doc", words(F.col("_t")).alias("w"))
     # both masks of a text side by side, so that it is split into words once
     both = each.select("_doc", F.posexplode(F.arrays_zip(*(_seeds(m).alias(f"s{m}") for m in range(len(MASKS))))).alias("place", "s"))
     flat = both.select("_doc", "place", F.explode(F.array(*(F.col(f"s.s{m}") for m in range(len(MASKS))))).alias("seed"))
+    for n in short:
+        flat = flat.unionByName(each.select("_doc", F.inline(_short_seeds(n, DIFFERENT))))
     hits = flat.join(_small(seeds), "seed")
     lined = cut(hits.select("_doc", "_item", (F.col("place") - F.col("item_place")).alias("shift")).distinct())
     hit_docs = lined.select("_doc").distinct()

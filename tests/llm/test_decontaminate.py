@@ -75,3 +75,20 @@ def test_odd_rows(spark, odd, none):
     assert got(none, items) == set() and got(odd, items.limit(0)) == set()
     plan = decontaminate.overlaps(odd, items)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+def test_short_items_with_every_pair_of_words_replaced(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(8, 14)]
+    rows, expected = [], set()
+    for n, text in items:
+        for lost in {(i, j) for i in range(n) for j in range(i, n)} | {()}:
+            w = [f"other{k}" if k in lost else x for k, x in enumerate(text.split())]
+            expected.add((len(rows), n))
+            rows.append((len(rows), " ".join(["before", *w, "after"])))
+        for part in (text.split()[2:], text.split()[:-2], text.split()[1:-1]):
+            expected.add((len(rows), n))
+            rows.append((len(rows), " ".join(part)))
+        rows.append((len(rows), " ".join(["x", "x", "x", *text.split()[3:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    assert got(docs, tests) == expected == brute(rows, items)
