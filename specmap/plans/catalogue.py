@@ -250,10 +250,12 @@ def classical_mds(spark, path):
 
 
 def landmark_mds(spark, path):
-    table = cut(_flat(spark, path))
-    marks = distance.draw_stars(views.coordinates(spark, path, 3), 50, 1)
-    names = spark.createDataFrame([(int(s), i) for i, s in enumerate(marks)], "j long, ord int")
-    wide = (table.join(F.broadcast(names), "j").groupBy(F.col("i").alias("star_id"))
+    points = cut(views.coordinates(spark, path, 3))
+    marks = distance.draw_stars(points, 50, 1)
+    at = {s: i for i, s in enumerate(marks)}
+    names = F.broadcast(spark.createDataFrame([(at[r["star_id"]], r["c"]) for r in points.filter(F.col("star_id").isin(marks)).collect()], "ord int, m array<double>"))
+    apart = F.sqrt(F.aggregate(F.zip_with("c", "m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    wide = (points.crossJoin(names).select("star_id", "ord", apart.alias("d")).groupBy("star_id")
             .agg(F.array_sort(F.collect_list(F.struct("ord", "d"))).alias("_r")))
     found = wide.select("star_id", F.lit(0).alias("part"), F.col("_r.d").alias("d"))
     placed, _ = coordinates.landmark_mds(found, marks, 3)

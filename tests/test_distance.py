@@ -97,3 +97,18 @@ def test_rescore_and_pairwise(spark, table):
     assert all(r["dist"] == want[r["star_id"], r["nbr_id"]] for r in dm.rescore(pairs, table(x)).collect())
     full = dm.pairwise(table(x), block=8).collect()
     assert len(full) == 900 and all(r["dist"] == want[r["star_id"], r["other_id"]] for r in full)
+
+
+def test_landmark_query_measures_only_to_its_landmarks(spark, monkeypatch):
+    from specmap.operators import distance
+    from specmap.plans import catalogue
+
+    def whole(*_, **__):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(distance, "pairwise", whole)
+    path = "/root/testdata/sf0.001"
+    rows = {r["vec_id"]: np.array(r["embedding"][:3], float) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()}
+    got = {r["star_id"]: r["separation"] for r in catalogue.landmark_mds(spark, path).collect()}
+    assert got.keys() == rows.keys()
+    assert all(abs(got[i] - np.linalg.norm(x - rows[min(rows)])) < 2e-5 for i, x in rows.items())
