@@ -1,15 +1,15 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against distributed reference blocks.
+"""Substring deduplication by window hashes in distributed reference blocks.
 
 Every window of 20 consecutive words whose sequence also starts earlier in the corpus (smaller id, or the same document
-further left) is a duplicate, and every word it covers goes. The parse works on pieces:
+further left) is a duplicate, and every word it covers goes. The search works on pieces:
 
 * A piece is a run of windows with the same anchor: the word 8-gram that comes first, among the thirteen in a window, in
   an order of rare before frequent. Equal windows have equal anchors, so all occurrences of a window meet in one block.
   How frequent 8-grams are is counted over all texts in 65,536 counters; common lines are therefore never the anchor of
   windows that also hold other words, and no block fills up with them.
-* The reference blocks are the groups of one anchor. In a block, pieces come in corpus order and are factored greedily
-  against all windows before them: the longest runs of windows that stand earlier are the factors. Windows that straddle
-  two factors are tested like any other, so a duplicate that crosses a factor boundary is found.
+* The reference blocks are the groups of one anchor. In a block, pieces come in corpus order and every window is
+  tested by its hash against all windows before it: runs of windows that stand earlier are the factors. Neighbouring
+  windows of a factor may stand in different documents; no reference position is kept.
 * Equal pieces of a slice of the input are collapsed before the shuffle: all but the first are duplicates already, so a
   passage that a third of all documents share reaches its block once per slice.
 
