@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import l1_table, lists_of, nearest_in
+from brute import l1_table, lists_of, nearest_in
 
 from specmap.operators import distance as dm, neighbours as nb, preprocess as pp
 from specmap.sources.spectra import from_arrays
