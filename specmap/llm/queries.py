@@ -5,8 +5,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from specmap.llm import bpe, decontaminate, html, jaccard, lm, quality, secrets, substrings, tokens, toxicity
+from specmap.llm import bpe, decontaminate, html, jaccard, lm, merkle, quality, secrets, substrings, tokens, toxicity
 
 #: The vocabulary that token counts and byte-pair coding use.
 VOCABULARY = "word_bpe_49k.json"
@@ -60,8 +61,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(docs))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.tampered_manifest(table(spark, sf_dir, "documents"))
+    proof = F.sha2(F.array_join("proof", "").cast("binary"), 256)
+    return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_toxicity, op2_token_counts, op3_bpe, op4_substring_dedup, op5_quality_rules, op6_html_extraction, op7_lm_scores, op8_jaccard_join, op9_decontamination, op10_secrets)
+    q.__name__: q for q in (op1_toxicity, op2_token_counts, op3_bpe, op4_substring_dedup, op5_quality_rules, op6_html_extraction, op7_lm_scores, op8_jaccard_join, op9_decontamination, op10_secrets, op11_merkle_manifest)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": merkle.ORACLE_SQL}
