@@ -7,10 +7,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmap.llm import bpe, decontaminate, html, jaccard, lm, merkle, quality, secrets, substrings, tokens, toxicity
+from specmap.llm import bpe, decontaminate, html, jaccard, lm, merkle, quality, secrets, substrings, token_files, tokens, toxicity
 
 #: The vocabulary that token counts and byte-pair coding use.
 VOCABULARY = "word_bpe_49k.json"
+#: The vocabulary of token files.
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +69,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_toxicity, op2_token_counts, op3_bpe, op4_substring_dedup, op5_quality_rules, op6_html_extraction, op7_lm_scores, op8_jaccard_join, op9_decontamination, op10_secrets, op11_merkle_manifest)
+    q.__name__: q for q in (op1_toxicity, op2_token_counts, op3_bpe, op4_substring_dedup, op5_quality_rules, op6_html_extraction, op7_lm_scores, op8_jaccard_join, op9_decontamination, op10_secrets, op11_merkle_manifest, op12_token_files)
 }
 
 ORACLES: dict[str, str] = {"op11_merkle_manifest": merkle.ORACLE_SQL}
