@@ -11,8 +11,8 @@
 `read` gives every document back, with the number of ids before it. Blocks need nothing but the codes to be decoded.
 
 Documents are dealt to shards by quantiles of their ids; equal ids (and null ones, which come first) are spread over all
-shards that hold the id, by a hash of the text, so a hot id is no hot shard. Texts are encoded twice, once for the counts
-and once to be coded: the ids themselves are never written or shuffled, only coded bits.
+shards that hold the id, by a hash of the text, so a hot id is no hot shard. Texts are encoded once, into a table beside
+the files (`ids`, in two bytes an id where that is enough); counting and coding read it, and only coded bits are shuffled.
 
 Cases: a null text counts as empty and has the end id alone; equal ids are ordered by a hash of their text, repeated rows
 each have their place; an empty table writes and reads an empty one; a folder that exists raises an error; other columns
@@ -20,10 +20,11 @@ of the input are ignored.
 """
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,63 +43,87 @@ STEP = 1024
 BLOCK_IDS = 1 << 16
 #: Bytes of text, and of payload, that are worked on at once.
 RUN = 1 << 22
-#: Units remembered in a task.
-REMEMBERED = 200_000
 #: Most shards; the quantiles of the ids are one list of so many numbers.
 SHARDS = 10_000
 
+#: How byte-level vocabularies cut texts (a fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts that a worker encodes twice to compare both libraries.
+COMPARED = 20
+#: Characters without white space, or of it, from which a run is long.
+LONG = 400
+_BLANK = re.compile(rf"\s{{{LONG}}}")
+
+
+def _long(text: str) -> bool:
+    return max(map(len, text.split()), default=0) >= LONG or _BLANK.search(text) is not None
+
 
 class Encoder:
-    """Ids of texts under one tokenizer file, by its own library. Units seen before in a task are not encoded again."""
+    """Ids of texts as the tokenizers library gives them for one of its files.
+
+    The library spends most of its time on what only offsets need. A byte-level vocabulary with the usual pattern is
+    therefore given to tiktoken, as ranks made from the same file; texts with a long run without white space, or of it,
+    and files of any other kind are encoded by the library itself. Each worker compares both on its first texts, and
+    stays with the library if they ever differ.
+    """
+
+    _of: dict[str, "Encoder"] = {}
+
+    @classmethod
+    def of(cls, path: str) -> "Encoder":
+        """The worker's encoder of this file."""
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self._model = Tokenizer.from_file(path)
         self._model.no_truncation()
         self._model.no_padding()
-        own_space = self._model.encode(" a", add_special_tokens=False).offsets[:1] in ([(0, 2)], [(0, 1)]) and self._model.encode(" \n\t ", add_special_tokens=False).ids
-        # a byte-level word pattern always starts a token at a single space between a visible character and a letter
-        self._split = regex.compile(r"(?<=\S)(?= \p{L})").split if own_space else lambda text: [text]
-        self._forget()
-
-    def _forget(self) -> None:
-        self._known: dict[str, int] = {}
-        self._ids = np.zeros(1 << 16, np.uint32)
-        self._ends = np.zeros(1 << 12, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        known = self._known
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            found = [x.ids for x in self._model.encode_batch_fast(part, add_special_tokens=False)]
-            ids = np.fromiter(chain.from_iterable(found), np.uint32)
-            at = len(known)
-            first = int(self._ends[at])
-            while len(self._ids) < first + len(ids):
-                self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-            while len(self._ends) < at + len(part) + 1:
-                self._ends = np.concatenate([self._ends, np.zeros_like(self._ends)])
-            self._ids[first : first + len(ids)] = ids
-            self._ends[at + 1 : at + len(part) + 1] = first + np.cumsum([len(x) for x in found])
-            known.update(zip(part, range(at, at + len(part)), strict=True))
+        self._fast = self._ranked(path)
+        self._compare = 0 if self._fast is None else COMPARED
+
+    def _ranked(self, path: str):
+        """The same vocabulary in tiktoken, if the file is plain byte-level BPE whose ids are its merge ranks."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        kind, split = said["model"], said.get("pre_tokenizer") or {}
+        plain = kind.get("type") == "BPE" and not kind.get("dropout") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not said.get("normalizer")
+        special = {x["content"]: x["id"] for x in said.get("added_tokens", [])}
+        if not plain or any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in said["added_tokens"]):
+            return None
+        # printable bytes stand for themselves, the others for the characters from 256 on, in order
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in kind["vocab"].items() if token not in special}
+        fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        return lambda text: fast.encode_to_numpy(text, allowed_special=fast.special_tokens_set, disallowed_special=())
+
+    def _slow(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self._model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and how many each text has."""
-        if len(self._known) > REMEMBERED:
-            self._forget()
-        units = [self._split(text) for text in texts]
-        self._learn(list(set(chain.from_iterable(units)).difference(self._known)))
-        per_text = np.array([len(u) for u in units], np.int64)
-        at = np.fromiter(map(self._known.__getitem__, chain.from_iterable(units)), np.int64, int(per_text.sum()))
-        first, length = self._ends[at], self._ends[at + 1] - self._ends[at]
-        ends = np.cumsum(length)
-        flat = np.repeat(first - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
-        last = np.concatenate([[0], ends])[np.cumsum(per_text)]
-        out = np.insert(self._ids[flat], last, end_id)
-        return out, np.diff(last, prepend=0) + 1
+        fast = self._fast
+        found = self._slow(texts) if fast is None else [None if _long(text) else fast(text) for text in texts]
+        slow = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(slow, self._slow([texts[i] for i in slow]), strict=True):
+            found[i] = x
+        if fast is not None and self._compare > 0:
+            first = texts[: self._compare]
+            self._compare -= len(first)
+            if any(not np.array_equal(a, b) for a, b in zip(found, self._slow(first))):
+                self._fast = None
+                return self(texts, end_id)
+        end = np.array([end_id], np.uint32)
+        counts = np.array([len(x) + 1 for x in found], np.int64)
+        return np.concatenate([part for x in found for part in (x, end)] or [end[:0]]).astype(np.uint32), counts
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -215,19 +240,52 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             yield rows, part.to_pylist()
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """How often each id occurs over all texts; as long as the vocabulary."""
+def encode(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tie, n, width, ids): the ids of every text, in `width` little-endian bytes each; `tie` is a hash of the text."""
+    names = ["id", "tie", "n", "width", "ids"]
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(path)
+        for rows, texts in _runs(batches):
+            ids, counts = encoder(texts, end_id)
+            width = 2 if ids.max(initial=0) < 1 << 16 else 4
+            data = ids.astype(f"<u{width}")
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("tie"), pa.array(counts), pa.array(np.full(len(counts), width, np.int32)), _cells(data, np.cumsum(counts) * width)], names)
+
+    return _plain(docs, id_col, text_col).withColumn("tie", F.xxhash64("text")).mapInArrow(stage, "id long, tie long, n long, width int, ids binary")
+
+
+def _cells(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Consecutive runs of bytes as binary values."""
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int64)).buffers()[1]
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _ids_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Runs of rows of `encode` and their ids."""
+    for rows, cells in byte_runs(batch, batch.column("ids"), RUN):
+        width = rows.column("width").to_numpy()
+        parts = cells.to_pylist()
+        if (width == width[0]).all():
+            yield rows, np.frombuffer(b"".join(parts), f"<u{width[0]}").astype(np.uint32)
+        else:
+            yield rows, np.concatenate([np.frombuffer(x, f"<u{w}").astype(np.uint32) for x, w in zip(parts, width.tolist(), strict=True)])
+
+
+def id_counts(encoded: DataFrame) -> np.ndarray:
+    """How often each id occurs in the rows of `encode`; as long as the vocabulary."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = Encoder(path), np.zeros(0, np.int64)
-        for _, texts in _runs(batches):
-            n = np.bincount(encode(texts, end_id)[0], minlength=len(total))
-            n[: len(total)] += total
-            total = n
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for _, ids in _ids_of(batch):
+                n = np.bincount(ids, minlength=len(total))
+                n[: len(total)] += total
+                total = n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token", "n"])
 
-    found = _plain(docs, id_col, text_col).mapInArrow(stage, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    found = encoded.select("width", "ids").mapInArrow(stage, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     token, n = found.column("token").to_numpy(), found.column("n").to_numpy()
     counts = np.zeros(int(token.max()) + 1 if len(token) else 1, np.int64)
     counts[token] = n
@@ -237,8 +295,9 @@ def id_counts(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
 def write(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> None:
     """Write the ids of all texts, encoded with the tokenizer file `path`, into the tables of `folder`."""
     spark = docs.sparkSession
-    plain = _plain(docs, id_col, text_col)
-    bits = code_lengths(id_counts(docs, path, end_id, id_col, text_col), limit)
+    encode(docs, path, end_id, id_col, text_col).write.option("compression", "zstd").parquet(f"{folder}/ids")
+    encoded = spark.read.parquet(f"{folder}/ids")
+    bits = code_lengths(id_counts(encoded), limit)
     codes, longest = canonical(bits)
     if longest > 24:
         raise ValueError("codes of more than 24 bits")
@@ -247,28 +306,24 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "d
     shards = min(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     key = F.coalesce("id", F.lit(-(2**63)))
     steps = [i / shards for i in range(1, shards)]
-    edges = plain.agg(F.percentile_approx(key, steps, 10 * SHARDS)).first()[0] if steps else []
+    edges = encoded.agg(F.percentile_approx(key, steps, 10 * SHARDS)).first()[0] if steps else []
     edges = np.array(edges or [], np.int64)
     names = ["id", "tie", "shard", "n", "marks", "payload"]
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
-        for rows, texts in _runs(batches):
-            ids, counts = encode(texts, end_id)
-            payload, first, marks, lanes = pack(ids, counts, bits, codes)
-            tie = rows.column("tie").to_numpy()
-            own = pc.fill_null(rows.column("id"), -(2**63)).to_numpy()
-            low, high = np.searchsorted(edges, own, "left"), np.searchsorted(edges, own, "right")
-            shard = low + (tie.view(np.uint64) % (high - low + 1).astype(np.uint64)).astype(np.int64)
-            offsets = pa.array(np.append(first, len(payload)).astype(np.int32)).buffers()[1]
-            bytes_ = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(payload.tobytes())])
-            ends = pa.array(np.concatenate([[0], np.cumsum(lanes)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("tie"), pa.array(shard.astype(np.int32)), pa.array(counts), pa.ListArray.from_arrays(ends, pa.array(marks)), bytes_], names)
-
-    tied = plain.withColumn("tie", F.xxhash64("text"))
-    coded = tied.mapInArrow(stage, "id long, tie long, shard int, n long, marks array<long>, payload binary")
-    dealt = coded.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "tie")
-    dealt.mapInArrow(_blocks, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
+        for batch in batches:
+            for rows, ids in _ids_of(batch):
+                counts = rows.column("n").to_numpy()
+                payload, first, marks, lanes = pack(ids, counts, bits, codes)
+                own, tie = pc.fill_null(rows.column("id"), -(2**63)).to_numpy(), rows.column("tie").to_numpy()
+                low, high = np.searchsorted(edges, own, "left"), np.searchsorted(edges, own, "right")
+                shard = low + (tie.view(np.uint64) % (high - low + 1).astype(np.uint64)).astype(np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(lanes)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("tie"), pa.array(shard.astype(np.int32)), pa.array(counts), pa.ListArray.from_arrays(ends, pa.array(marks)), _cells(payload, np.append(first[1:], len(payload)))], names)
+
+    coded = encoded.mapInArrow(stage, "id long, tie long, shard int, n long, marks array<long>, payload binary")
+    dealt = coded.repartitionById(shards, "shard").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
+    dealt.mapInArrow(_blocks, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
 _LIST = pa.list_(pa.int64())
@@ -336,9 +391,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 block_first = np.concatenate([[0], ends])[np.cumsum(docs) - docs]
                 own = begin[rows.column("shard").to_numpy()] + rows.column("before").to_numpy() - block_first
                 start = ends - counts + np.repeat(own, docs)
-                offsets = pa.array(np.concatenate([[0], 4 * ends])).buffers()[1]
-                binary = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, offsets, pa.py_buffer(ids.astype("<u4", copy=False))])
-                yield pa.RecordBatch.from_arrays([pc.list_flatten(rows.column("doc_ids")), pa.array(start), pa.array(counts), binary.cast(pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pc.list_flatten(rows.column("doc_ids")), pa.array(start), pa.array(counts), _cells(ids.astype("<u4", copy=False), 4 * ends)], names)
 
     return blocks.mapInArrow(stage, "doc_id long, start long, n_tokens long, ids binary")
 
