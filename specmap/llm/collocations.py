@@ -37,10 +37,14 @@ from specmap.session import cut, parallelism
 TILE_BITS = 10
 #: Occurrences in a batch from which a tile is counted densely.
 DENSE = 1 << 17
+#: Tiles whose sizes are counted directly.
+GRID = 1 << 22
 #: Pairs that a task counts at once.
 PAIRS = 1 << 22
 #: Bytes of text in a slice.
 SLICE = 1 << 21
+#: Bytes of text that a task keeps for slices of several languages.
+HELD = 1 << 24
 #: Entries of an id table up to which it is broadcast.
 BROADCAST = 1_000_000
 #: Ids of words stay below 2**WORD_BITS, ids of phrases below 2**(62 - WORD_BITS).
@@ -48,6 +52,12 @@ WORD_BITS = 29
 #: Parts in which the best phrases of a language are chosen first.
 SALTS = 64
 
+#: floor(1000 a n / (l r)) in 38 digits, for counts below 10**16.
+SCORE = (
+    "cast(cast(1000 as decimal(4,0)) * (cast(a as decimal(16,0)) * cast(n as decimal(16,0))) as decimal(38,0))"
+    " div (cast(l as decimal(16,0)) * cast(r as decimal(16,0)))"
+)
+
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?"] + list(range(0x0A, 0x0E))] = True
 _SPACE = _BREAK.copy()
@@ -57,7 +67,7 @@ _SPACE[[0x20, 0x09]] = True
 def slices_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(slice, lang, words, times, seq): the vocabulary of each slice, how often each word occurs, and the words of its
     texts in order as int32 numbers into the vocabulary, -1 between pieces."""
-    plain = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.lower(F.lit("")).alias("pad"), F.col(text_col).cast("string").alias("text")).drop("pad").filter("length(text) > 0")
+    plain = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).filter("text <> ''")
     names = ["slice", "lang", "words", "times", "seq"]
     kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
 
@@ -89,6 +99,8 @@ def slices_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
                         yield emit(lang)
                         have = 0
                     lo = hi
+            while sum(size.values()) > HELD:
+                yield emit(max(size, key=size.get))
         for lang in list(held):
             yield emit(lang)
 
@@ -113,7 +125,7 @@ def _numbered(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     coded = words.dictionary_encode()
     number = coded.indices.to_numpy()
     ended = np.cumsum(_BREAK[data] | new_text[:-1])                            # a text's first byte opens a new piece too
-    gaps = np.flatnonzero(np.diff(ended[starts]) > (_BREAK[data] & new_text[:-1])[starts[1:]] * 0)
+    gaps = np.flatnonzero(np.diff(ended[starts]) > 0)
     seq = np.insert(number.astype(np.int32), gaps + 1, -1)
     return coded.dictionary.cast(pa.string()), np.bincount(number, minlength=len(coded.dictionary)), seq
 
@@ -123,18 +135,6 @@ def ranked(counts: DataFrame, order: list[str]) -> DataFrame:
     return with_rank(counts.withColumn("_less", -F.col("f")), ["lang", "_less", *order], "id").drop("_less")
 
 
-class Level:
-    """The frequent phrases of one length: (lang, p, w, f, id, phrase), ids by rank. Of words p is null and w the word."""
-
-    def __init__(self, table: DataFrame, length: int):
-        self.table, self.length = cut(table), length
-        self.size = self.table.count()
-        self.held: tuple | None = None
-
-    def small(self) -> bool:
-        return self.size <= BROADCAST
-
-
 def _code(p: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (p << np.int64(WORD_BITS)) | w
 
@@ -170,15 +170,22 @@ def tile_counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = np.int64((1 << TILE_BITS) - 1)
     p, w = codes >> np.int64(WORD_BITS), codes & np.int64((1 << WORD_BITS) - 1)
     tile = ((p >> np.int64(TILE_BITS)) << np.int64(WORD_BITS)) | (w >> np.int64(TILE_BITS))
-    found, where, size = np.unique(tile, return_inverse=True, return_counts=True)
+    top_p, top_w = (int(x.max(initial=0) >> TILE_BITS) + 1 for x in (p, w))
+    if top_p * top_w <= GRID:
+        size = np.bincount((p >> TILE_BITS) * top_w + (w >> TILE_BITS), minlength=top_p * top_w)
+        dense = np.flatnonzero(size >= DENSE)
+        dense = ((dense // top_w) << np.int64(WORD_BITS)) | dense % top_w
+    else:
+        found, size = np.unique(tile, return_counts=True)
+        dense = found[size >= DENSE]
     out, times = [], []
     sparse = np.ones(len(codes), bool)
-    for number in np.flatnonzero(size >= DENSE):
-        mine = where == number
+    for number in dense:
+        mine = tile == number
         sparse &= ~mine
         counted = np.bincount(((p[mine] & mask) << np.int64(TILE_BITS)) | (w[mine] & mask), minlength=1 << (2 * TILE_BITS))
         cell = np.flatnonzero(counted)
-        first_p, first_w = (found[number] >> np.int64(WORD_BITS)) << np.int64(TILE_BITS), (found[number] & np.int64((1 << WORD_BITS) - 1)) << np.int64(TILE_BITS)
+        first_p, first_w = (number >> np.int64(WORD_BITS)) << np.int64(TILE_BITS), (number & np.int64((1 << WORD_BITS) - 1)) << np.int64(TILE_BITS)
         out.append(_code(first_p + (cell >> TILE_BITS), first_w + (cell & mask)))
         times.append(counted[cell])
     rest = np.sort(codes[sparse])
@@ -307,7 +314,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text_col:
     slices = cut(slices_of(docs, text_col, lang_col))
     counted = slices.select("lang", F.explode(F.arrays_zip("words", "times")).alias("x")).groupBy("lang", F.col("x.words").alias("w")).agg(F.sum("x.times").alias("f"))
     totals = cut(slices.groupBy("lang").agg(F.sum(F.aggregate("times", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n")))
-    words = ranked(counted.filter(F.col("f") >= least), ["w"])
+    words = ranked(cut(counted.filter(F.col("f") >= least)), ["w"])
     words = cut(words.select("lang", "w", "f", "id"))
     size = words.count()
     if size >= 1 << WORD_BITS:
@@ -337,10 +344,6 @@ def _part(phrase: str, first: Column, count: Column) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), first, count), " ")
 
 
-def _whole(x: str, digits: int) -> Column:
-    return F.col(x).cast(f"decimal({digits},0)")
-
-
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, share: int = 100, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first `top` phrases of each language.
 
@@ -359,11 +362,43 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     parts = cuts.withColumn("left", _part("phrase", F.lit(1), F.col("k"))).withColumn("right", _part("phrase", F.col("k") + 1, F.col("length") - F.col("k")))
     side = lambda name, f: known.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     met = parts.join(side("left", "l"), ["lang", "left"]).join(side("right", "r"), ["lang", "right"]).join(totals, "lang")
-    # at most 38 digits: counts below 10**16
-    scored = met.withColumn("score", F.expr("cast(cast(1000 as decimal(4,0)) * (cast(a as decimal(16,0)) * cast(n as decimal(16,0))) as decimal(38,0)) div (cast(l as decimal(16,0)) * cast(r as decimal(16,0)))"))
+    scored = met.withColumn("score", F.expr(SCORE))
     lowest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("x")).select("lang", "phrase", "x.*")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     near = Window.partitionBy("lang", F.pmod(F.hash("phrase"), F.lit(SALTS))).orderBy(*order)
     first = lowest.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= top)                 # SALTS * top rows of a language
     out = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     return out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+#: The same phrases in DuckDB.
+ORACLE_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM texts
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), phrases AS (
+  SELECT lang, m AS length, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM pieces, range(1, 6) AS lengths(m) WHERE len(w) >= m
+), counts AS (
+  SELECT lang, length, phrase, count(*) AS f FROM phrases GROUP BY lang, length, phrase HAVING count(*) >= 100
+), spans AS (
+  SELECT lang, f, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase
+  FROM counts, range(2, 5) AS lengths(m), range(1, 5) AS places(i) WHERE m < length AND i + m - 1 <= length
+), kept AS (
+  SELECT * FROM counts c WHERE length > 1 AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.lang = c.lang AND s.phrase = c.phrase AND 100 * s.f >= 100 * c.f)
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+  FROM kept c JOIN totals USING (lang), range(1, 5) AS places(k), counts x, counts y
+  WHERE k < c.length AND x.lang = c.lang AND y.lang = c.lang AND x.phrase = array_to_string(string_split(c.phrase, ' ')[:k], ' ')
+    AND y.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ')
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE place = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ordered WHERE rank <= 2000
+"""

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmap.llm import bpe, decontaminate, html, jaccard, lm, merkle, quality, secrets, substrings, token_files, tokens, toxicity
+from specmap.llm import bpe, collocations, decontaminate, html, jaccard, lm, merkle, quality, secrets, substrings, token_files, tokens, toxicity
 
 #: The vocabulary that token counts and byte-pair coding use.
 VOCABULARY = "word_bpe_49k.json"
@@ -73,8 +73,12 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_toxicity, op2_token_counts, op3_bpe, op4_substring_dedup, op5_quality_rules, op6_html_extraction, op7_lm_scores, op8_jaccard_join, op9_decontamination, op10_secrets, op11_merkle_manifest, op12_token_files)
+    q.__name__: q for q in (op1_toxicity, op2_token_counts, op3_bpe, op4_substring_dedup, op5_quality_rules, op6_html_extraction, op7_lm_scores, op8_jaccard_join, op9_decontamination, op10_secrets, op11_merkle_manifest, op12_token_files, op13_collocations)
 }
 
-ORACLES: dict[str, str] = {"op11_merkle_manifest": merkle.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": merkle.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
