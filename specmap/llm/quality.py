@@ -232,14 +232,17 @@ def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     taught = docs.select(id_col, text_col).join(known, F.col(id_col) == F.col("_label_id"), "left_semi")
     rules = learn_from(statistics(taught, id_col, text_col), labels, id_col, fit_rows=fit_rows)
     columns = docs.columns
-    fields = T.StructType([*docs.schema.fields, *(T.StructField(f"_q_{c}", T.LongType()) for c in COUNTS)])
+    mark = "_q_"
+    while any(c.lower().startswith(mark) for c in columns):
+        mark = f"_{mark}"
+    fields = T.StructType([*docs.schema.fields, *(T.StructField(f"{mark}{c}", T.LongType()) for c in COUNTS)])
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, text_col):
                 counts = count_texts(data, offsets)
-                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(counts[c].astype(np.int64)) for c in COUNTS)], [*columns, *(f"_q_{c}" for c in COUNTS)])
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(counts[c].astype(np.int64)) for c in COUNTS)], [*columns, *(f"{mark}{c}" for c in COUNTS)])
 
     named = docs.mapInArrow(stage, fields)
-    out = named.filter(~(base_failed("_q_") | rejects(rules, "_q_")))
+    out = named.filter(~(base_failed(mark) | rejects(rules, mark)))
     return out.select(*columns)

@@ -5,6 +5,7 @@ text has no words. Arrow batches are cut by bytes, not by rows, so memory follow
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,28 +15,13 @@ import pyarrow.compute as pc
 #: Bytes of text that are worked on at once.
 SLICE = 1 << 21
 
-_random = np.random.default_rng(20240229)
-_BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 3
-_INVERSE = pow(_BASE, -1, 2**64)
+#: Spans of up to so many bytes are hashed side by side, longer ones one by one.
+SHORT_SPAN = 256
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    """base**0 … base**(n-1) modulo 2**64."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, SLICE + 1)
-        steps = np.full(size, base % 2**64, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if size <= 2 * SLICE:
-            _powers[name] = have
-    return have[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -82,20 +68,27 @@ class Words:
         #: words of text i are first[i] … first[i+1]-1
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
-        self._prefix = None
 
     @property
     def text(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of the bytes of each span."""
-        n = len(self.data)
-        if self._prefix is None:
-            self._prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * _power("up", _BASE, n), out=self._prefix[1:])
-        h = (self._prefix[ends] - self._prefix[starts]) * _power("down", _INVERSE, n + 1)[starts]
-        return mix(h + (ends - starts).astype(np.uint64))
+        """A hash of the bytes of each span: eight bytes after the other are mixed in, so no structure of a text cancels."""
+        length = ends - starts
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.data) + 1, np.dtype("<u8"), padded, strides=(1,))
+        h = mix(length.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        live = np.flatnonzero(length <= SHORT_SPAN)
+        for at in range(0, SHORT_SPAN, 8):
+            live = live[length[live] > at]
+            if not len(live):
+                break
+            part = eight[starts[live] + at] & _MASK[np.minimum(length[live] - at, 8)]
+            h[live] = mix(h[live] ^ part) + np.uint64(at)
+        for i in np.flatnonzero(length > SHORT_SPAN).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return h
 
     @property
     def hashes(self) -> np.ndarray:
@@ -128,3 +121,15 @@ def whole_windows(first: np.ndarray, counts: np.ndarray, k: int, n: int) -> np.n
         np.add.at(edge, (first[:-1] + counts - k + 1)[live], -1)
         ok = np.cumsum(edge[:-1]) > 0
     return ok
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """`names`, each lengthened until none of `columns` has it (whatever its case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
