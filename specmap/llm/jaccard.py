@@ -7,14 +7,17 @@ it. Texts link when 100 * intersection >= share * union. Steps:
 2. Shingles are put in one global order, rare before frequent. How frequent they are is counted over all texts in a
    table of 262,144 counters (each shingle adds to the counter of its hash), so its size is fixed. The order decides
    only how much work there is, not which pairs are found.
-3. Two texts that link share a shingle in the first n - ceil(share * n) + 1 of each (the prefix). Prefix shingles become
-   keys; keys with one text are dropped.
-4. Pairs under a key of few texts pass the length filter, then once per pair the positional filter (places of the first
-   shared shingle) and the suffix filter, and are verified once by their sets. The suffix filter bounds the Hamming
-   distance of two sets from below by that of their parities: each shingle flips one of 256 bits.
-5. Keys of many texts are not expanded into their pairs. Rounds pair every text with one text of the key; found links join
-   components; keys inside one component are done. When rounds find little more, the pairs that still lie across
-   components are verified, all of them, with the suffix filter inside the join; so no link between components is missed.
+3. Two texts that link share a shingle in the first n - ceil(share * n) + 1 of each (the prefix). A node's prefix is
+   written once, beside its size and parities; every later step reads that table.
+4. Stars: under each of a node's `FIRST` rarest shingles, and among texts of like size, every text meets one other text.
+   Pairs that pass the filters are verified, and found links join components. Texts of one component need not meet again.
+5. All prefix shingles that texts of two or more components share are joined with themselves. Length, positional and
+   suffix filter are in the join; the suffix filter bounds the Hamming distance of two sets from below by that of their
+   parities (each shingle flips one of 256 bits). Every pair of different components is made distinct and verified once,
+   so no link between components is missed, and components are joined a last time.
+
+A frequent shingle's texts are spread by the join itself (adaptive execution splits both sides of a key), and groups of
+copies or near copies are one node or one component before any pair is formed.
 
 Cases: null and empty texts have no shingle, link with nothing and are their own component; a null id stays null and is
 not linked; different texts under one id count as one document; an empty table gives an empty one; other
@@ -30,17 +33,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specmap.llm.words import Words, slices, whole_windows, window_hash
+from specmap.llm.words import Words, slices, unused, whole_windows, window_hash
 from specmap.session import cut
 
 #: Leading bits of a shingle's hash that choose its counter.
 SKETCH_BITS = 18
 #: Words of 64 parity bits.
 PARITY = 4
-#: Texts under a key up to which all its pairs are looked at.
-GROUP = 8
-#: Rounds go on while they link at least this share of the texts under open keys.
-PROGRESS = 0.05
+#: Rarest shingles under which texts meet first.
+FIRST = 6
+#: Texts whose sizes differ by less than about this factor meet first.
+LIKE = 1.12
 #: Ids are broadcast up to so many rows; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -66,6 +69,10 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _parities(s: np.ndarray) -> np.ndarray:
     """256 bits, each the parity of how many shingles hash to it."""
     odd = np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
@@ -87,7 +94,7 @@ def _surveyed(texts: DataFrame, k: int) -> DataFrame:
                 sets = list(shingle_sets(data, offsets, k))
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 sizes = pa.array([len(s) for s in sets], pa.int32())
-                digests = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+                digests = pa.array([_digest(s) for s in sets], pa.binary())
                 bits = np.array([_parities(s) for s in sets]).T
                 yield pa.RecordBatch.from_arrays([rows.column("id"), sizes, digests, *(pa.array(np.ascontiguousarray(x)) for x in bits), pa.nulls(len(sets), lists), pa.nulls(len(sets), lists)], names)
         used = np.flatnonzero(sketch)
@@ -97,27 +104,21 @@ def _surveyed(texts: DataFrame, k: int) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, k: int, share: int, counters: np.ndarray) -> DataFrame:
-    """(key, id, n, pos): the prefix of each text in the global order."""
+    """(id, digest, keys): the prefix of each text in the global order."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
-                keys, ids, sizes, places = [], [], [], []
-                for i, s in zip(rows.column("id").to_pylist(), shingle_sets(data, offsets, k), strict=True):
+                keys, digests = [np.zeros(0, np.int64)], []
+                for s in shingle_sets(data, offsets, k):
                     n = len(s)
-                    if not n:
-                        continue
-                    p = n - -(-share * n // 100) + 1
                     often = counters[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    first = np.argsort(often, kind="stable")[:p]
-                    keys.append(s[first])
-                    ids.append(np.full(p, i, np.int64))
-                    sizes.append(np.full(p, n, np.int32))
-                    places.append(np.arange(p, dtype=np.int32))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([a.view(np.int64) for a in keys], ids, sizes, places)], ["key", "id", "n", "pos"])
+                    keys.append(s[np.argsort(often, kind="stable")[: n - -(-share * n // 100) + 1 if n else 0]].view(np.int64))
+                    digests.append(_digest(s))
+                ends = np.cumsum([len(x) for x in keys]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["id", "digest", "keys"])
 
-    return texts.mapInArrow(stage, "key long, id long, n int, pos int")
+    return texts.mapInArrow(stage, "id long, digest binary, keys array<long>")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -150,15 +151,18 @@ def _close(share: int, other: str) -> Column:
     return (100 + share) * apart <= (100 - share) * (F.col("n") + F.col(other + "n"))
 
 
-def _candidates(left: DataFrame, right: DataFrame, share: int) -> DataFrame:
-    """(a, b, na, nb): pairs across components under a shared key that pass the length and the positional filter, and the
-    suffix filter where the sides have parities; once each."""
-    r = right.select("key", *(F.col(c).alias(f"_{c}") for c in right.columns if c != "key"))
+def _fits(share: int) -> Column:
+    """Length, positional and suffix filter on two rows (id, n, pos, label, parities), the other's columns marked _."""
     near = F.least("pos", "_pos") + 1 + F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) - 1
-    fit = (F.col("label") != F.col("_label")) & _long_enough(F.col("n"), F.col("_n"), share) & _enough(near, F.col("n"), F.col("_n"), share)
-    if _BITS[0] in left.columns:
-        fit = fit & _close(share, "_")
-    met = left.withColumnRenamed("key", "k").join(r, (F.col("k") == F.col("key")) & fit)
+    return (F.col("label") != F.col("_label")) & _long_enough(F.col("n"), F.col("_n"), share) & _enough(near, F.col("n"), F.col("_n"), share) & _close(share, "_")
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"_{c}") for c in rows.columns))
+
+
+def _distinct_pairs(met: DataFrame, share: int) -> DataFrame:
+    """(a, b, na, nb) once each, from rows that met under one key or several."""
     swap = F.col("id") > F.col("_id")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     pairs = met.select(pick("id", "_id").alias("a"), pick("_id", "id").alias("b"), pick("n", "_n").alias("na"), pick("_n", "n").alias("nb"), (pick("pos", "_pos").cast("long") * 2**32 + pick("_pos", "pos")).alias("places"))
@@ -167,16 +171,14 @@ def _candidates(left: DataFrame, right: DataFrame, share: int) -> DataFrame:
     return once.filter(_enough(F.least(F.col("na") - at_a, F.col("nb") - at_b), F.col("na"), F.col("nb"), share)).select("a", "b", "na", "nb")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame:
-    """The pairs that link; the suffix filter decides which sets are made at all."""
-    bits = lambda side, mark: nodes.select(F.col("id").alias(side), *(F.col(x).alias(mark + x) for x in _BITS))
-    known = pairs.join(bits("a", ""), "a").join(bits("b", "_"), "b").withColumn("n", F.col("na")).withColumn("_n", F.col("nb"))
-    held = cut(known.filter(_close(share, "_")).select("a", "b", "na", "nb"))
-    ids = cut(held.select(F.col("a").alias("id")).union(held.select("b")).distinct())
-    sets = cut(_sets(texts.join(_small(ids), "id", "left_semi"), k))
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
+    held = cut(pairs)
+    ids = held.select(F.col("a").alias("id")).union(held.select("b")).distinct()
+    sets = cut(_sets(texts.join(_small(cut(ids)), "id", "left_semi"), k).dropDuplicates())
     whole = lambda side: sets.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}"))
     both = held.join(whole("a"), "a").join(whole("b"), "b")
-    return both.filter(_enough(F.size(F.array_intersect("set_a", "set_b")), F.col("na"), F.col("nb"), share)).select("a", "b").distinct()
+    return cut(both.filter(_enough(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"), share)).select("a", "b").distinct())
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -194,12 +196,21 @@ def _smallest(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """`labels` after its components are joined by `links`."""
-    name = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
-    edges = links.join(name("a"), "a").join(name("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b")
-    merged = _smallest(edges).select(F.col("node").alias("label"), F.col("label").alias("merged"))
-    return cut(labels.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label")))
+def _stars(nodes: DataFrame, share: int) -> DataFrame:
+    """Pairs of each node with one other under each of its rarest shingles and like size."""
+    size = F.floor(F.log(LIKE, "n"))
+    rows = nodes.withColumn("label", F.col("id")).select("id", "n", "label", *_BITS, size.alias("size"), F.posexplode(F.slice("keys", 1, FIRST)).alias("pos", "key"))
+    one = rows.groupBy("key", "size").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "pos", "label", *_BITS)).alias("x"), F.count("*").alias("members"))
+    middle = one.filter("members > 1").select("key", "size", "x.id", "x.n", "x.pos", "x.label", *(f"x.{b}" for b in _BITS))
+    return rows.join(_marked(middle), (F.col("key") == F.col("_key")) & (F.col("size") == F.col("_size")) & _fits(share))
+
+
+def _across(nodes: DataFrame, share: int) -> DataFrame:
+    """Pairs of nodes of different components under any shingle of both prefixes."""
+    rows = nodes.select("id", "n", "label", *_BITS, F.posexplode("keys").alias("pos", "key"))
+    open_ = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    live = cut(rows.join(open_, "key"))
+    return live.join(_marked(live), (F.col("key") == F.col("_key")) & (F.col("id") < F.col("_id")) & _fits(share))
 
 
 def node_labels(docs: DataFrame, id_col: str, text_col: str, k: int, share: int) -> tuple[DataFrame, DataFrame]:
@@ -212,52 +223,15 @@ def node_labels(docs: DataFrame, id_col: str, text_col: str, k: int, share: int)
     counters = np.zeros(1 << SKETCH_BITS, np.int64)
     counters[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
     named = rows.filter("n > 0 AND id IS NOT NULL")
-    nodes = cut(named.groupBy("digest", "n").agg(F.min("id").alias("id"), *(F.min(x).alias(x) for x in _BITS)))
-    # all rows but copies of a node's own row: these are fewer than the nodes
-    spare = named.join(nodes.select("digest", F.col("id").alias("node")), "digest").filter("id <> node").select("id").distinct()
-    spare = cut(spare.join(nodes.select("id"), "id", "left_anti"))
-    unique = texts.filter("id IS NOT NULL").join(_small(spare), "id", "left_anti")
-    if not named.groupBy("id").count().filter("count > 1").isEmpty():
-        unique = unique.dropDuplicates(["id", "text"])
-    raw = _prefixes(unique, k, share, counters)
-    shared = raw.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("members"))
-    index = cut(raw.join(shared.filter("low < high").select("key", "members"), "key").withColumn("label", F.col("id")))
-    labels = cut(index.select("id").distinct().withColumn("label", F.col("id")))
-    few = index.filter(F.col("members") <= GROUP).drop("members")
-    checked = cut(_candidates(few, few, share))
-    links = cut(_verified(checked, nodes, unique, k, share))
-    if not links.isEmpty():
-        labels = _relabelled(labels, links)
-    many = index.filter(F.col("members") > GROUP).drop("members", "label")
-    if not many.isEmpty():
-        labels = _many(many, labels, nodes, checked, unique, k, share)
-    of_node = nodes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("label"))
-    return rows.select("id", "n", "digest"), of_node
-
-
-def _many(index: DataFrame, labels: DataFrame, nodes: DataFrame, checked: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame:
-    """`labels` after all links under keys of many texts are found."""
-    live, turn, last = index.join(nodes.select("id", *_BITS), "id"), 0, False
-    while True:
-        labelled = live.drop("label").join(labels, "id")
-        open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        live = cut(labelled.join(open_keys, "key"))
-        texts_left = live.select("id").distinct().count()
-        if not texts_left:
-            return labels
-        right = live
-        if not last:
-            order = live.withColumn("h", F.xxhash64("id", F.lit(turn)))
-            right = order.join(order.groupBy("key").agg(F.min("h").alias("h")), ["key", "h"]).drop("h")
-        pairs = cut(_candidates(live, right, share).join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-        links = cut(_verified(pairs, nodes, texts, k, share))
-        if not links.isEmpty():
-            labels = _relabelled(labels, links)
-        if last:
-            return labels
-        checked = checked.select("a", "b").union(pairs.select("a", "b"))
-        last = links.count() < PROGRESS * texts_left
-        turn += 1
+    known = texts.filter("id IS NOT NULL")
+    sets = named.groupBy("digest", "n").agg(F.min("id").alias("id"), *(F.min(x).alias(x) for x in _BITS))
+    nodes = cut(sets.join(_prefixes(known, k, share, counters).dropDuplicates(["id", "digest"]), ["id", "digest"]))
+    links = _verified(_distinct_pairs(_stars(nodes, share), share), known, k, share)
+    first = _smallest(links)
+    joined = nodes.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    more = _verified(_distinct_pairs(_across(joined, share), share), known, k, share)
+    labels = _smallest(links.union(more)).withColumnRenamed("node", "id")
+    return rows.select("id", "n", "digest"), nodes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("label"))
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, share: int = 85) -> DataFrame:
@@ -270,5 +244,6 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, share: int = 85) -> DataFrame:
     """One row of each component: that of its smallest id (texts without shingles and rows with a null id all stay)."""
     found = components_of(docs, id_col, text_col, k, share)
-    gone = cut(found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(_small(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    name = unused(docs.columns, "_gone")[0]
+    gone = cut(found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(name)).distinct())
+    return docs.join(_small(gone), F.col(id_col) == F.col(name), "left_anti")

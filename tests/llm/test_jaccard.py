@@ -83,7 +83,8 @@ def test_odd_rows(odd, none):
     assert by[4]["n_shingles"] == by[7]["n_shingles"] == by[8]["n_shingles"] == 1
     assert by[5]["component_id"] == 5 and by[None]["component_id"] is None
     assert jaccard.components_of(none).count() == jaccard.keep_one(none).count() == 0
-    assert jaccard.keep_one(odd).count() == odd.count()
+    named = odd.selectExpr("*", "n AS _gone", "n AS label", "n AS digest")
+    assert jaccard.keep_one(named).count() == odd.count() and jaccard.keep_one(named).columns == named.columns
 
 
 def test_one_of_each_group_stays(spark):
@@ -91,3 +92,45 @@ def test_one_of_each_group_stays(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     expected = sorted({c if n else i for i, (n, c) in brute(rows).items()})
     assert sorted(r["doc_id"] for r in jaccard.keep_one(table).collect()) == expected
+
+
+def jobs(spark, run):
+    """Jobs that `run` starts, by the tracker of a group of its own."""
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def met(spark, groups, size):
+    """Rows that the join across components makes, for groups of texts that share a frequent shingle and little else."""
+    draw = random.Random(groups)
+    rows = []
+    for g in range(groups):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for i in range(size):
+            text = list(base)
+            for _ in range(3):
+                text[draw.randrange(80)] = f"x{draw.randint(0, 10**9)}"
+            rows.append((len(rows), " ".join(["the same four words", *text])))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counted = []
+    across = jaccard._across
+    jaccard._across = lambda nodes, share: counted.append(across(nodes, share)) or counted[-1]
+    try:
+        assert got(table) == brute(rows)
+    finally:
+        jaccard._across = across
+    return counted[0].count()
+
+
+def test_hot_shingles_and_groups_make_few_candidates(spark):
+    """Five times the texts, in larger groups under one shingle that all texts share: candidates grow in proportion."""
+    few, many = met(spark, 5, 12), met(spark, 10, 30)
+    assert many <= 5 * max(few, 60)
+
+
+def test_few_jobs(spark, docs):
+    assert jobs(spark, lambda: jaccard.components_of(docs).collect()) <= 70
