@@ -2,8 +2,8 @@
 
 Two first-order Markov models over ASCII characters are counted from labelled samples: random strings are the values that
 the fixed patterns find, ordinary identifiers are the long runs of texts in which those find nothing. A run of sixteen or
-more letters, digits and `+/_=-` with both a letter and a digit is reported when the sum of its log-likelihood ratios
-passes a threshold and no fixed span touches it. Everything is DataFrame functions; positions are code points, ends are
+more letters, digits and `+/_=-`, or what fixed spans leave of it where that is so long, is reported when the sum of its
+log-likelihood ratios passes a threshold. Everything is DataFrame functions; positions are code points, ends are
 exclusive.
 
 Cases: a null text counts as empty; texts without secrets have counts 0 and empty lists; spans of one start are ordered by
@@ -22,7 +22,7 @@ _ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*[
 _ACCESS = r"(AKIA[A-Z0-9]{16,})"
 _HEX = r"([0-9a-f]{24,})"
 _RUN = r"[A-Za-z0-9+/_=-]"
-_MIXED = rf"((?<!{_RUN})(?={_RUN}*[0-9])(?={_RUN}*[A-Za-z]){_RUN}{{16,}})"
+_LONG = rf"({_RUN}{{16,}})"
 KINDS = ("assign", "access", "hex", "markov")
 _FIXED = {"assign": (_ASSIGN, 6), "access": (_ACCESS, 20), "hex": (_HEX, 24)}
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -31,6 +31,8 @@ _NONE = "array<struct<start:int,finish:int,rank:int,value:string>>"
 RANDOM_TEXTS, ORDINARY_TEXTS = 200_000, 4_000
 #: Bounds of what one step adds to the log-likelihood ratio.
 STEP = (-3.0, 1.5)
+#: Characters of a run that is scored.
+LEAST = 16
 #: Characters that the models tell apart.
 _SIZE = 128
 
@@ -126,10 +128,26 @@ def with_spans(docs: DataFrame, models: Models, text_col: str = "text", least_ra
     """`docs` with `_text` (null as empty), `_fixed` and `_spans`, all spans by start and kind."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.withColumn("_text", text).withColumn("_fixed", fixed_spans(F.col("_text")))
-    runs = F.filter(_found(F.col("_text"), _MIXED, "markov", 16), lambda s: models.score(s["value"]) >= least_ratio)
-    free = F.filter(runs, lambda s: ~F.exists("_fixed", lambda f: (f["start"] < s["finish"]) & (s["start"] < f["finish"])))
-    both = F.array_sort(F.concat("_fixed", free))
-    return out.withColumn("_spans", F.when(F.col("_text").rlike("[0-9]") & F.col("_text").rlike(_MIXED), both).otherwise(F.col("_fixed")))
+    parts = F.filter(F.flatten(F.transform(_found(F.col("_text"), _LONG, "markov", LEAST), _remainders)), lambda s: models.score(s["value"]) >= least_ratio)
+    return out.withColumn("_spans", F.when(F.col("_text").rlike(_LONG), F.array_sort(F.concat("_fixed", parts))).otherwise(F.col("_fixed")))
+
+
+def _remainders(run: Column) -> Column:
+    """What the fixed spans leave of a run, where it is long enough."""
+
+    def piece(start: Column, finish: Column) -> Column:
+        value = F.substring(run["value"], start - run["start"] + 1, finish - start)
+        return F.struct(start.alias("start"), finish.alias("finish"), run["rank"].alias("rank"), value.alias("value"))
+
+    def step(state: Column, s: Column) -> Column:
+        apart = (s["finish"] <= state["at"]) | (s["start"] >= run["finish"])
+        before = F.when(apart | (s["start"] <= state["at"]), F.array().cast(_NONE)).otherwise(F.array(piece(state["at"], s["start"])))
+        return F.struct(F.when(apart, state["at"]).otherwise(F.least(s["finish"], run["finish"])).alias("at"), F.concat(state["out"], before).alias("out"))
+
+    begin = F.struct(run["start"].alias("at"), F.array().cast(_NONE).alias("out"))
+    end = F.aggregate("_fixed", begin, step)
+    whole = F.concat(end["out"], F.array(piece(end["at"], run["finish"])))
+    return F.filter(whole, lambda s: s["finish"] - s["start"] >= LEAST)
 
 
 def _written(spans: Column) -> Column:
@@ -156,6 +174,8 @@ def redact(docs: DataFrame, models: Models, text_col: str = "text", mark: str =
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     end = F.aggregate("_spans", begin, step)
     rest = lambda e: F.concat(e["out"], F.col("_text").substr(e["at"] + 1, F.length("_text")))
-    found = with_spans(docs, models, text_col)
-    out = found.withColumn("_end", end).withColumn(text_col, F.when(F.size("_spans") > 0, rest(F.col("_end"))).otherwise(F.col(text_col)))
-    return out.select(*docs.columns)
+    # the row travels as one column, so no name of its own can clash
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_own"))
+    found = with_spans(packed, models, "_own").withColumn("_end", end)
+    text = F.when(F.size("_spans") > 0, rest(F.col("_end"))).otherwise(F.col("_own"))
+    return found.select(*((text if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns))

@@ -49,12 +49,27 @@ def test_random_strings_are_found_and_words_are_left(spark):
     assert secrets.scan(docs, models).agg({"n_markov": "sum"}).first()[0] <= 3
 
 
+def test_runs_without_a_digit_and_what_fixed_spans_leave(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    models, draw = secrets.train(docs), random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(draw.choice(letters) for _ in range(32)) for _ in range(40)]
+    base = "0123456789abcdef0123456789abcdef"
+    rows = [(i, k) for i, k in enumerate(keys)] + [(100 + i, f"{base}-{k}+") for i, k in enumerate(keys)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), models).collect()}
+    assert sum(got[i] == "markov:0:32" for i in range(40)) >= 36
+    assert sum(got[100 + i] == "hex:0:32,markov:32:66" for i in range(40)) >= 36
+
+
 def test_redaction(spark, odd, none):
     key = "0123456789abcdef01234567"
     rows = [(1, f"é token={key} b"), (2, f"{key}"), (3, "plain é"), (4, None), (5, f"a {key} b {key}")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in secrets.redact(table, NONE).collect()}
     assert got == {1: "é [SECRET] b", 2: "[SECRET]", 3: "plain é", 4: None, 5: "a [SECRET] b [SECRET]"}
+    named = table.selectExpr("*", "text AS _text", "doc_id AS _spans", "1 AS _row", "2 AS _end", "3 AS _own")
+    assert secrets.redact(named, NONE).drop("_text").join(secrets.redact(table, NONE), ["doc_id", "text"]).count() == 4
+    assert {r["_text"] for r in secrets.redact(named, NONE).collect()} == {t for _, t in rows}
     assert secrets.redact(odd, NONE).columns == odd.columns
     assert secrets.redact(odd, NONE).exceptAll(odd).count() == 0
     assert secrets.scan(none, secrets.train(none)).count() == 0
