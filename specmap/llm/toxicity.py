@@ -3,7 +3,7 @@
 P(grade > k) = sigmoid(w . x - theta_k): one weight vector shared by all thresholds, which stay in order because their
 gaps are exponentials. Features are hashes of words (ASCII letters lowered, outer punctuation left out) and of their
 first six bytes, valued log(1 + count); the features that tell toxic training texts from others best are kept. The
-expected severity is the sum of P(grade > k) over the thresholds.
+expected severity adds P(grade > k) over the thresholds, times the step from one given grade to the next.
 
 Labels that only say toxic or not become grades by rule (`graded`): 0 for texts that are not toxic; for toxic ones 1, 2 or
 3 by thirds of how often they use features that are typical of toxic texts.
@@ -62,11 +62,20 @@ def _counted(text: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Ordinal:
-    """The kept features (ascending), their shared weights, and the ordered thresholds."""
+    """The kept features (ascending), their shared weights, the ordered thresholds, and the grades that these part."""
 
     features: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    grades: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        if self.grades is None:
+            self.grades = np.arange(len(self.thresholds) + 1)
+
+    @classmethod
+    def constant(cls, grade: int) -> "Ordinal":
+        return cls(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.array([grade]))
 
     def log_odds(self, text: np.ndarray, feature: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
         """w . x for each of n texts."""
@@ -156,24 +165,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = taught.mapInArrow(stage, "y int, f array<long>, n array<int>").toArrow().combine_chunks()
     y = table.column("y").to_numpy()
     if not len(y):
-        return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(1, 60.0))
+        return Ordinal.constant(0)
+    y = (y > 0).astype(np.int64) if binary else np.maximum(y, 0).astype(np.int64)
+    if y.min() == y.max():
+        return Ordinal.constant(int(y[0]))
     flat = lambda c: table.column(c).combine_chunks()
     sizes = np.array([len(x) for x in flat("f")])
     text = np.repeat(np.arange(len(y)), sizes)
     feature = flat("f").flatten().to_numpy().view(np.uint64)
     count = flat("n").flatten().to_numpy()
-    bad = y > 0
-    if bad.all() or not bad.any():
-        return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(1, -60.0 if bad.all() else 60.0))
+    bad = y > y.min()
     names, odds = select(text, feature, bad)
     if not len(names):
-        top = bad.mean()
-        return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(1, -60.0 if top > 0.5 else 60.0))
-    grade = graded(text, feature, count, names, odds, bad) if binary else np.maximum(y, 0).astype(np.int64)
+        return Ordinal.constant(int(np.sort(y)[len(y) // 2]))
+    grades, grade = np.unique(graded(text, feature, count, names, odds, bad) if binary else y, return_inverse=True)
     at = np.minimum(np.searchsorted(names, feature), len(names) - 1)
     hit = names[at] == feature
     weights, thresholds = fit(text[hit], at[hit], np.log1p(count[hit]), grade, len(names))
-    return Ordinal(names, weights, thresholds)
+    return Ordinal(names, weights, thresholds, grades)
 
 
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", least: float = 0.4) -> DataFrame:
@@ -190,7 +199,10 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
                     hit = model.features[at] == feature
                     text, feature = text[hit], feature[hit]
                 p = model.exceeds(model.log_odds(*_counted(text, feature), rows.num_rows))
-                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(p.sum(axis=1)), pa.array((p >= 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= least)], ["id", "severity", "grade", "p_toxic", "toxic"])
+                severity = model.grades[0] + p @ np.diff(model.grades).astype(float)
+                grade = model.grades[(p >= 0.5).sum(axis=1)].astype(np.int32)
+                some = p[:, 0] if len(model.thresholds) and model.grades[0] == 0 else np.full(rows.num_rows, float(model.grades[0] > 0))
+                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(severity), pa.array(grade), pa.array(some), pa.array(some >= least)], ["id", "severity", "grade", "p_toxic", "toxic"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInArrow(stage, "id long, severity double, grade int, p_toxic double, toxic boolean").withColumnRenamed("id", id_col)

@@ -52,3 +52,15 @@ def test_odd_rows(spark, odd, none):
     empty = toxicity.train(none, labels)
     assert {r["toxic"] for r in toxicity.score(odd, empty).collect()} == {False}
     assert toxicity.score(none, model).count() == 0
+
+
+def test_given_grades(spark):
+    rows = [(i, " ".join(["calm"] * 5 + ["grim"] * (5 * (i % 3)) + ["day"] * 3)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for shift in (0, 1, 4):
+        labels = spark.createDataFrame([(i, i % 3 + shift) for i in range(90)], "doc_id long, toxic int")
+        scored = toxicity.score(docs, toxicity.train(docs, labels, binary=False)).collect()
+        assert all(r["grade"] == r["doc_id"] % 3 + shift for r in scored)
+        assert all(abs(r["severity"] - r["grade"]) < 0.5 for r in scored)
+    same = toxicity.score(docs, toxicity.train(docs, docs.selectExpr("doc_id", "3 AS toxic"), binary=False)).collect()
+    assert {(r["severity"], r["grade"], r["toxic"]) for r in same} == {(3.0, 3, True)}
