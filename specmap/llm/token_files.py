@@ -22,9 +22,9 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ STEP = 1024
 BLOCK_IDS = 1 << 16
 #: Bytes of text, and of payload, that are worked on at once.
 RUN = 1 << 22
+#: Bytes of ids that are counted or coded at once.
+CODED = 1 << 20
 #: Most shards; the quantiles of the ids are one list of so many numbers.
 SHARDS = 10_000
 
@@ -50,22 +52,23 @@ SHARDS = 10_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts that a worker encodes twice to compare both libraries.
 COMPARED = 20
-#: Characters without white space, or of it, from which a run is long.
+#: Characters of a unit from which the library encodes it.
 LONG = 400
-_BLANK = re.compile(rf"\s{{{LONG}}}")
-
-
-def _long(text: str) -> bool:
-    return max(map(len, text.split()), default=0) >= LONG or _BLANK.search(text) is not None
+#: Units remembered in a Python worker.
+REMEMBERED = 500_000
+#: ASCII white space, and the controls that only some take for it.
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 
 
 class Encoder:
     """Ids of texts as the tokenizers library gives them for one of its files.
 
-    The library spends most of its time on what only offsets need. A byte-level vocabulary with the usual pattern is
-    therefore given to tiktoken, as ranks made from the same file; texts with a long run without white space, or of it,
-    and files of any other kind are encoded by the library itself. Each worker compares both on its first texts, and
-    stays with the library if they ever differ.
+    A byte-level vocabulary with the usual pattern starts a token at every single space between visible characters.
+    Texts are cut there into units, which are numbered by Arrow, and a unit that a worker has seen is not encoded again.
+    New units go to tiktoken, with ranks made from the same file, for the library spends most of its time on what only
+    offsets need; units with a long run, and files of any other kind, are encoded by the library itself. Each worker
+    compares both on its first texts, and stays with the library if they ever differ.
     """
 
     _of: dict[str, "Encoder"] = {}
@@ -86,6 +89,7 @@ class Encoder:
         self._model.no_padding()
         self._fast = self._ranked(path)
         self._compare = 0 if self._fast is None else COMPARED
+        self._forget()
 
     def _ranked(self, path: str):
         """The same vocabulary in tiktoken, if the file is plain byte-level BPE whose ids are its merge ranks."""
@@ -95,35 +99,99 @@ class Encoder:
             said = json.load(file)
         kind, split = said["model"], said.get("pre_tokenizer") or {}
         plain = kind.get("type") == "BPE" and not kind.get("dropout") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not said.get("normalizer")
-        special = {x["content"]: x["id"] for x in said.get("added_tokens", [])}
-        if not plain or any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in said["added_tokens"]):
+        added = said.get("added_tokens", [])
+        special = {x["content"]: x["id"] for x in added}
+        if not plain or any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or " " in x["content"] for x in added):
             return None
         # printable bytes stand for themselves, the others for the characters from 256 on, in order
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in kind["vocab"].items() if token not in special}
         fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: fast.encode_to_numpy(text, allowed_special=fast.special_tokens_set, disallowed_special=())
+        names, ordinary = list(special), fast._core_bpe.encode_ordinary
 
-    def _slow(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self._model.encode_batch_fast(texts, add_special_tokens=False)]
+        def encode(unit: str) -> list[int]:
+            if any(x in unit for x in names):
+                return fast.encode(unit, allowed_special="all")
+            return ordinary(unit)
 
-    def __call__(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each with the end id, and how many each text has."""
+        return encode
+
+    def _forget(self) -> None:
+        self._known: dict[str, int] = {}
+        self._ids = np.zeros(1 << 16, np.uint32)
+        self._ends = np.zeros(1 << 12, np.int64)
+
+    def _slow(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self._model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
         fast = self._fast
-        found = self._slow(texts) if fast is None else [None if _long(text) else fast(text) for text in texts]
-        slow = [i for i, x in enumerate(found) if x is None]
-        for i, x in zip(slow, self._slow([texts[i] for i in slow]), strict=True):
-            found[i] = x
-        if fast is not None and self._compare > 0:
-            first = texts[: self._compare]
+        for lo in range(0, len(new), 1 << 14):
+            part = new[lo : lo + (1 << 14)]
+            found = [None if len(x) >= LONG else fast(x) for x in part]
+            slow = [i for i, x in enumerate(found) if x is None]
+            for i, x in zip(slow, self._slow([part[i] for i in slow]), strict=True):
+                found[i] = x
+            ids = np.fromiter(chain.from_iterable(found), np.uint32)
+            at = len(self._known)
+            first = int(self._ends[at])
+            while len(self._ids) < first + len(ids):
+                self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+            while len(self._ends) < at + len(part) + 1:
+                self._ends = np.concatenate([self._ends, np.zeros_like(self._ends)])
+            self._ids[first : first + len(ids)] = ids
+            self._ends[at + 1 : at + len(part) + 1] = first + np.cumsum([len(x) for x in found])
+            self._known.update(zip(part, range(at, at + len(part)), strict=True))
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and how many each text has."""
+        if self._compare > 0 and self._fast is not None and len(texts):
+            first = texts.slice(0, self._compare)
             self._compare -= len(first)
-            if any(not np.array_equal(a, b) for a, b in zip(found, self._slow(first))):
+            ids, counts = self._by_units(first, end_id)
+            if ids.tolist() != [i for x in self._slow(first.to_pylist()) for i in (*x, end_id)]:
                 self._fast = None
-                return self(texts, end_id)
-        end = np.array([end_id], np.uint32)
-        counts = np.array([len(x) + 1 for x in found], np.int64)
-        return np.concatenate([part for x in found for part in (x, end)] or [end[:0]]).astype(np.uint32), counts
+        if self._fast is not None:
+            return self._by_units(texts, end_id)
+        found = self._slow(texts.to_pylist())
+        return np.array([i for x in found for i in (*x, end_id)], np.uint32), np.array([len(x) + 1 for x in found], np.int64)
+
+    def _by_units(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self._known) > REMEMBERED:
+            self._forget()
+        texts = texts.cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        starts = np.zeros(len(data) + 1, bool)
+        starts[unit_starts(data)] = True
+        starts[offsets[:-1]] = True
+        begin = np.flatnonzero(starts[:-1])
+        units = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([x for x in distinct if x not in self._known])
+        at = np.fromiter(map(self._known.__getitem__, distinct), np.int64, len(distinct))[units.indices.to_numpy()]
+        first, length = self._ends[at], self._ends[at + 1] - self._ends[at]
+        ends = np.cumsum(length)
+        flat = np.repeat(first - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+        last = np.concatenate([[0], ends])[np.searchsorted(begin, offsets[1:])]
+        return np.insert(self._ids[flat], last, end_id), np.diff(last, prepend=0) + 1
+
+
+def unit_starts(data: np.ndarray) -> np.ndarray:
+    """The single spaces between characters that are no white space under any reading; a longer character with a byte of
+    some white space in it counts as white space, which only makes a unit longer."""
+    space = np.flatnonzero(data == 0x20)
+    space = space[(space > 0) & (space < len(data) - 1)]
+    padded = np.concatenate([np.zeros(3, np.uint8), data, np.zeros(2, np.uint8)])
+    back = [padded[space + 3 - i] for i in range(4)]
+    ahead = [padded[space + 3 + i] for i in range(3)]
+    wide = lambda lead, second: np.isin(lead, (0xE1, 0xE2, 0xE3)) & np.isin(second, (0x80, 0x81, 0x9A))
+    before = _BLANK[back[1]] | (back[2] == 0xC2) | wide(back[3], back[2])
+    after = _BLANK[ahead[1]] | (ahead[1] == 0xC2) | wide(ahead[1], ahead[2])
+    return space[~(before | after)]
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -234,23 +302,18 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for batch in batches:
-        for rows, part in byte_runs(batch, pc.fill_null(batch.column("text"), ""), RUN):
-            yield rows, part.to_pylist()
-
-
 def encode(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tie, n, width, ids): the ids of every text, in `width` little-endian bytes each; `tie` is a hash of the text."""
     names = ["id", "tie", "n", "width", "ids"]
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for rows, texts in _runs(batches):
-            ids, counts = encoder(texts, end_id)
-            width = 2 if ids.max(initial=0) < 1 << 16 else 4
-            data = ids.astype(f"<u{width}")
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("tie"), pa.array(counts), pa.array(np.full(len(counts), width, np.int32)), _cells(data, np.cumsum(counts) * width)], names)
+        for batch in batches:
+            for rows, texts in byte_runs(batch, pc.fill_null(batch.column("text"), ""), RUN):
+                ids, counts = encoder(texts, end_id)
+                width = 2 if ids.max(initial=0) < 1 << 16 else 4
+                data = ids.astype(f"<u{width}")
+                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("tie"), pa.array(counts), pa.array(np.full(len(counts), width, np.int32)), _cells(data, np.cumsum(counts) * width)], names)
 
     return _plain(docs, id_col, text_col).withColumn("tie", F.xxhash64("text")).mapInArrow(stage, "id long, tie long, n long, width int, ids binary")
 
@@ -263,7 +326,7 @@ def _cells(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _ids_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Runs of rows of `encode` and their ids."""
-    for rows, cells in byte_runs(batch, batch.column("ids"), RUN):
+    for rows, cells in byte_runs(batch, batch.column("ids"), CODED):
         width = rows.column("width").to_numpy()
         parts = cells.to_pylist()
         if (width == width[0]).all():

@@ -3,6 +3,7 @@ from collections import Counter
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -88,27 +89,34 @@ def test_packed_documents_come_back(docs, step):
 
 def test_hard_texts(texts, monkeypatch):
     hard = ["", " ", "a  b", "it's a dog's  life", "x<|endoftext|> y <|endoftext|>z", "a  b  c", "1 a 2 b", "\x1c a\x1d b", "é ß 中文 字 🙂 a", "end. Next, (one) two\n three\t four", "a\n b", "w " * 3000, "tab\t a", " lead", "trail ", "a\u3000 b", "\nline x", "a \u0085b"]
-    hard += ["x" * 5000, " " * 3000 + "a", "é" * 900 + "<|endoftext|>", "<|endoftext", "I'LL i'll 'S's", *list(texts.values())[:50]]
+    hard += ["x" * 5000, " " * 3000 + "a", "é" * 900 + "<|endoftext|>", "<|endoftext", "I'LL i'll 'S's", "a\u2009 b \u2028c é è € 中 x\u00a0 y", *list(texts.values())[:50]]
     monkeypatch.setattr(tf, "COMPARED", 0)
     encode = tf.Encoder(PATH)
-    ids, counts = encode(hard, 2)
+    ids, counts = encode(pa.array(hard), 2)
     parts = np.split(ids, np.cumsum(counts)[:-1])
     assert encode._fast is not None
     assert [p.tolist() for p in parts] == [[*LIBRARY.encode(t or "", add_special_tokens=False).ids, 2] for t in hard]
 
 
+def test_forgetting_changes_nothing(texts, monkeypatch):
+    monkeypatch.setattr(tf, "REMEMBERED", 5)
+    encode = tf.Encoder(PATH)
+    for text in list(texts.values())[:40]:
+        assert encode(pa.array([text or ""]), 2)[0].tolist() == [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
+
+
 def test_other_files_use_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     encode, library = tf.Encoder(path), Tokenizer.from_file(path)
     library.no_truncation()
     assert encode._fast is None
-    assert encode(["Some text, twice.", ""], 7)[0].tolist() == [*library.encode("Some text, twice.", add_special_tokens=False).ids, 7, 7]
+    assert encode(pa.array(["Some text, twice.", ""]), 7)[0].tolist() == [*library.encode("Some text, twice.", add_special_tokens=False).ids, 7, 7]
 
 
 def test_a_difference_brings_the_library_back():
     encode = tf.Encoder(PATH)
-    encode._fast = lambda text: np.zeros(1, np.uint32)
-    assert encode(["one two"], 2)[0].tolist() == [*LIBRARY.encode("one two", add_special_tokens=False).ids, 2] and encode._fast is None
+    encode._fast = lambda unit: [0]
+    assert encode(pa.array(["one two"]), 2)[0].tolist() == [*LIBRARY.encode("one two", add_special_tokens=False).ids, 2] and encode._fast is None
 
 
 def test_whole_table(spark, docs, texts):
