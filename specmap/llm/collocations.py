@@ -20,6 +20,7 @@ twice in overlapping places counts twice; an empty table gives an empty one; oth
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from specmap.functions.ranks import with_rank
 from specmap.llm.words import LOWER
-from specmap.session import cut, parallelism
+from specmap.session import cut, ensure_checkpoint_dir
 
 #: Ids along each side of a tile.
 TILE_BITS = 10
@@ -64,6 +65,15 @@ _SPACE = _BREAK.copy()
 _SPACE[[0x20, 0x09]] = True
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """`df` as a compressed table in the session's shared folder."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/slices-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def slices_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(slice, lang, words, times, seq): the vocabulary of each slice, how often each word occurs, and the words of its
     texts in order as int32 numbers into the vocabulary, -1 between pieces."""
@@ -268,7 +278,7 @@ class Corpus:
                     p = _next(p, w, length, codes, ids)
                     yield pa.RecordBatch.from_arrays([pa.array([slice_]), pa.array([w.astype(np.int32).tobytes()]), pa.array([p.tobytes()])], ["slice", "w", "p"])
 
-        self.base = cut(base.join(given, "slice", "left").mapInArrow(apply, "slice long, w binary, p binary"))
+        self.base = _stored(base.join(given, "slice", "left").mapInArrow(apply, "slice long, w binary, p binary"))
         self.chain = []
 
 
@@ -288,10 +298,10 @@ def _with_ids(slices: DataFrame, words: DataFrame, small: bool) -> DataFrame:
 
         def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(batch.num_rows):
-                    ids = by_lang.get(batch.column("lang")[i].as_py(), {})
-                    vocabulary = batch.column("words")[i].as_py()
-                    yield row(batch.column("slice")[i].as_py(), batch.column("seq")[i].as_py(), np.array([ids.get(x, -1) for x in vocabulary], np.int64))
+                for i, (slice_, lang, seq) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("slice", "lang", "seq")), strict=True)):
+                    ids = by_lang.get(lang, {}).get
+                    vocabulary = batch.column("words")[i].values.to_numpy(zero_copy_only=False).tolist()
+                    yield row(slice_, seq, np.fromiter((ids(x, -1) for x in vocabulary), np.int64, len(vocabulary)))
 
         return slices.select("slice", "lang", "words", "seq").mapInArrow(known, kind)
     asked = slices.select("slice", "lang", F.posexplode("words").alias("at", "w")).join(words.select("lang", "w", "id"), ["lang", "w"])
@@ -311,7 +321,7 @@ def _with_ids(slices: DataFrame, words: DataFrame, small: bool) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """((lang, n): words per language; (lang, phrase, length, f): phrases of 1 to `longest` words that occur `least` times)."""
-    slices = cut(slices_of(docs, text_col, lang_col))
+    slices = _stored(slices_of(docs, text_col, lang_col))
     counted = slices.select("lang", F.explode(F.arrays_zip("words", "times")).alias("x")).groupBy("lang", F.col("x.words").alias("w")).agg(F.sum("x.times").alias("f"))
     totals = cut(slices.groupBy("lang").agg(F.sum(F.aggregate("times", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n")))
     words = ranked(cut(counted.filter(F.col("f") >= least)), ["w"])
@@ -319,7 +329,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text_col:
     size = words.count()
     if size >= 1 << WORD_BITS:
         raise ValueError("more frequent words than ids")
-    corpus = Corpus(cut(_with_ids(slices, words, size <= BROADCAST)))
+    corpus = Corpus(_stored(_with_ids(slices, words, size <= BROADCAST)))
     level = words.select("lang", F.col("w").alias("phrase"), F.lit(1).alias("length"), "f", "id")
     last = words.select(F.col("id").alias("w"), F.col("w").alias("word"))
     levels = [level]
