@@ -10,7 +10,8 @@ it. Texts link when 100 * intersection >= share * union. Steps:
 3. Two texts that link share a shingle in the first n - ceil(share * n) + 1 of each (the prefix). A node's prefix is
    written once, beside its size and parities; every later step reads that table.
 4. Stars: under each of a node's `FIRST` rarest shingles, and among texts of like size, every text meets one other text.
-   Pairs that pass the filters are verified, and found links join components. Texts of one component need not meet again.
+   Of those that pass the filters the closest by parities is verified, and found links join components. Texts of one
+   component need not meet again.
 5. All prefix shingles that texts of two or more components share are joined with themselves. Length, positional and
    suffix filter are in the join; the suffix filter bounds the Hamming distance of two sets from below by that of their
    parities (each shingle flips one of 256 bits). Every pair of different components is made distinct and verified once,
@@ -145,10 +146,14 @@ def _long_enough(a: Column, b: Column, share: int) -> Column:
     return 100 * F.least(a, b) >= share * F.greatest(a, b)
 
 
+def _apart(other: str) -> Column:
+    """In how many parity bits two sides differ."""
+    return sum((F.bit_count(F.col(b).bitwiseXOR(F.col(other + b))) for b in _BITS), F.lit(0))
+
+
 def _close(share: int, other: str) -> Column:
     """The suffix filter on columns n and parities, and those of the other side."""
-    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(other + b))) for b in _BITS), F.lit(0))
-    return (100 + share) * apart <= (100 - share) * (F.col("n") + F.col(other + "n"))
+    return (100 + share) * _apart(other) <= (100 - share) * (F.col("n") + F.col(other + "n"))
 
 
 def _fits(share: int) -> Column:
@@ -197,19 +202,23 @@ def _smallest(edges: DataFrame) -> DataFrame:
 
 
 def _stars(nodes: DataFrame, share: int) -> DataFrame:
-    """Pairs of each node with one other under each of its rarest shingles and like size."""
+    """For each node the closest, by parities, of the texts that stand for its rarest shingles and its size."""
     size = F.floor(F.log(LIKE, "n"))
     rows = nodes.withColumn("label", F.col("id")).select("id", "n", "label", *_BITS, size.alias("size"), F.posexplode(F.slice("keys", 1, FIRST)).alias("pos", "key"))
+    rows = rows.repartition("key", "size")                                      # serves both the choice and the join
     one = rows.groupBy("key", "size").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "pos", "label", *_BITS)).alias("x"), F.count("*").alias("members"))
     middle = one.filter("members > 1").select("key", "size", "x.id", "x.n", "x.pos", "x.label", *(f"x.{b}" for b in _BITS))
-    return rows.join(_marked(middle), (F.col("key") == F.col("_key")) & (F.col("size") == F.col("_size")) & _fits(share))
+    met = rows.join(_marked(middle), (F.col("key") == F.col("_key")) & (F.col("size") == F.col("_size")) & _fits(share))
+    near = met.groupBy("id").agg(F.min(F.struct(_apart("_").alias("apart"), "n", "pos", "_id", "_n", "_pos")).alias("x"))
+    return near.select("id", "x.*")
 
 
 def _across(nodes: DataFrame, share: int) -> DataFrame:
     """Pairs of nodes of different components under any shingle of both prefixes."""
-    rows = nodes.select("id", "n", "label", *_BITS, F.posexplode("keys").alias("pos", "key"))
+    # only what a shingle needs is shuffled; the rest joins what is left, few rows under shingles of several components
+    rows = nodes.select("id", "label", F.posexplode("keys").alias("pos", "key")).repartition("key")
     open_ = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    live = cut(rows.join(open_, "key"))
+    live = cut(rows.join(open_, "key").select("key", "id", "pos").join(nodes.select("id", "n", "label", *_BITS), "id"))
     return live.join(_marked(live), (F.col("key") == F.col("_key")) & (F.col("id") < F.col("_id")) & _fits(share))
 
 
