@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import lists, map_batches, matrix
 from ..functions.ranks import exact_quantiles, with_rank
-from .neighbours import check_k, nearest
+from .neighbours import check_k, kth_nearest
 
 
 def error(residuals: DataFrame, column: str = "e") -> DataFrame:
@@ -115,7 +115,7 @@ def pair_jitter(coords: DataFrame, is_main: str = "is_main", is_pair: str = "is_
     main = coords.where(F.col(is_main)).select("star_id", F.col("c").alias("vec"))
     total = main.count()
     check_k(10, total)
-    tenth = nearest(main, main, 10, "l2", total).where("rank = 10")
+    tenth = kth_nearest(main, 10, len(main.first()["vec"]), total)
     jitter = exact_quantiles(repeats, "jitter", [0.5]).first()["q"]
     spacing = exact_quantiles(tenth, "dist", [0.5]).first()["q"]
     return float(jitter / spacing)

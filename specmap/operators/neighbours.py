@@ -19,6 +19,7 @@ from ..functions.kernels import METRICS, merge_top
 from ..functions.ranks import with_rank
 from ..functions.skew import hubs, salted_join
 from ..session import cut, parallelism
+from .halo import MOST_AXES, kth_distance
 
 PIVOT_BYTES = 16 << 20     # vectors of all pivots, shipped to every task
 MAX_PIVOTS = 64
@@ -134,6 +135,13 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, metric: str = "l1",
     return _by_blocks(queries, targets, k, metric, targets.count())
 
 
+def kth_nearest(points: DataFrame, k: int, d: int, total: int | None = None) -> DataFrame:
+    """(star_id, dist): the Euclidean distance to the k-th nearest other star, from points(star_id, vec) of d numbers."""
+    if d <= MOST_AXES:
+        return kth_distance(points, k)
+    return nearest(points, points, k, "l2", total).where(F.col("rank") == k).select("star_id", "dist")
+
+
 def _by_blocks(queries: DataFrame, targets: DataFrame, k: int, metric: str, n_targets: int) -> DataFrame:
     spark = targets.sparkSession
     pivots = _pivots(targets, metric, 1, pivot_count(n_targets))
