@@ -13,7 +13,7 @@ from .pipeline import fit
 
 EMB_CHUNKINGS = [preprocess.segment_chunks(views.EMB_SEGMENTS, per) for per in ((2, 2), (4, 4), (8, 8))]
 K_EMB, K_DOC = 10, 3
-DOC_LANDMARKS = 6          # the landmarks of the document graph are the stars of smallest id
+DOC_LANDMARKS = 6          # drawn as a fit draws them
 
 
 def rounded(column: str | Column, digits: int = 6) -> Column:
@@ -212,7 +212,7 @@ def bridges(spark, path):
 def _doc_geodesics(spark, path):
     features = _doc_features(spark, path)
     edges = graph.lattice(_doc_knn(features), features, features).edges
-    marks = [r["star_id"] for r in features.select("star_id").orderBy("star_id").limit(DOC_LANDMARKS).collect()]
+    marks = distance.draw_stars(features, DOC_LANDMARKS, 1)
     layout = near.feature_layout(features, geo.BLOCK_STARS)
     return geo.geodesics(edges, marks, features, layout), marks
 
@@ -292,11 +292,19 @@ def lle_weights(spark, path):
         F.count(F.lit(1)).alias("n"), rounded(F.sum("w"), 8).alias("total"))
 
 
-def lle_weights_two(spark, path):
-    knn = _knn(spark, path).where(F.col("rank") <= 2)
+def _weights_of(spark, path, k):
+    knn = _knn(spark, path).where(F.col("rank") <= k)
     return solve.weights_long(refine.lle_weights(_flux_vectors(spark, path), knn)).select("src", "dst", rounded("w").alias("w"))
 
 
+def lle_weights_two(spark, path):
+    return _weights_of(spark, path, 2)
+
+
+def lle_weights_three(spark, path):
+    return _weights_of(spark, path, 3)
+
+
 def _uniform(spark, path):
     knn = _knn(spark, path)
     return knn.select(F.col("star_id").alias("src"), F.col("nbr_id").alias("dst"), F.lit(1.0 / K_EMB).alias("w"))
@@ -421,6 +429,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     prepare_pixel_cut, fill_bad, cumulative_curve, cumulative_curve_weighted, curve_guard, chunk_medians, features_long,
     l1_pairwise, rescore_candidates, w1_pixel, knn_exact, knn_exact_copies, knn_nndescent, knn_nndescent_documents,
     knn_overlap, lattice_edges, degree_stats, components, piece_sizes, bridges, geodesics, landmark_means, mds_centering,
-    classical_mds, landmark_mds, coordinates_geodesic, pca_norms, pca_flux, gram_trace, lle_weights, lle_weights_two,
+    classical_mds, landmark_mds, coordinates_geodesic, pca_norms, pca_flux, gram_trace, lle_weights, lle_weights_two, lle_weights_three,
     system_diag, refined_coordinates, propagate, anchor_check, density_spacing, density_draw, heldout_rows, label_error,
     label_r2, linear_probe, quadratic_map, design, pair_jitter, oriented, fit_coordinates, fit_transfer)}

@@ -18,6 +18,14 @@ def _squares(a: str, b: str) -> str:
     return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))"
 
 
+def _gap(a: str, b: str) -> str:
+    return f"list_transform(range(1, len({a}) + 1), lambda i: {a}[i] - {b}[i])"
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]))"
+
+
 # ---------------------------------------------------------------- spectra views
 
 EMB = """
@@ -103,7 +111,7 @@ bridge AS (SELECT src, dst, w FROM spans QUALIFY row_number() OVER (PARTITION BY
 joined AS (SELECT src, dst, max(w) AS w FROM (SELECT * FROM edges UNION ALL SELECT * FROM bridge
            UNION ALL SELECT dst, src, w FROM bridge) GROUP BY src, dst)"""
 GEODESICS = """
-marks AS (SELECT star_id AS l FROM doc ORDER BY star_id LIMIT 6),
+marks AS (SELECT star_id AS l FROM doc ORDER BY CAST('0x' || substr(md5('1:' || star_id), 1, 13) AS BIGINT), star_id LIMIT 6),
 paths(l, v, d) USING KEY (l, v) AS (
     SELECT l, l, CAST(0 AS DOUBLE) FROM marks
     UNION
@@ -143,7 +151,16 @@ running AS (SELECT star_id, pix, CASE WHEN k0 IS NULL THEN y1 WHEN k1 IS NULL OR
                    ELSE y0 + (y1 - y0) / (k1 - k0) * (pix - k0) END AS cont FROM sides)"""
 
 
-COORD3 = "pts AS (SELECT vec_id AS star_id, CAST(embedding[1:3] AS DOUBLE[]) AS c FROM embeddings)"
+def _fold(d: int, j: int) -> str:
+    """The sum of every d-th element of a whole vector, from the j-th on."""
+    return f"list_sum(CAST(embedding[{j + 1}:len(embedding):{d}] AS DOUBLE[]))"
+
+
+def _points(d: int) -> str:
+    return f"pts AS (SELECT vec_id AS star_id, [{', '.join(_fold(d, j) for j in range(d))}] AS c FROM embeddings)"
+
+
+COORD3 = _points(3)
 LABELS = """
 scored AS (SELECT l.doc_id, unnest([CAST(0 AS BIGINT), 1]) AS axis, unnest([CAST(quality AS DOUBLE), CAST(toxic AS DOUBLE)]) AS y,
                   unnest([n_chars / CAST(7000 AS DOUBLE), ln(CAST(n_chars AS DOUBLE) + 3) / CAST(11 AS DOUBLE)]) AS p
@@ -223,6 +240,19 @@ gram AS (SELECT t.star_id, n1, n2, sum((CAST(b.flux AS DOUBLE) - CAST(a.flux AS
          JOIN emb c ON c.star_id = n2 AND c.pix = a.pix GROUP BY ALL),
 raw AS (SELECT *, g22 + CAST(0.001 AS DOUBLE) * (g11 + g22) - g12 AS r1, g11 + CAST(0.001 AS DOUBLE) * (g11 + g22) - g12 AS r2 FROM gram)""") + f"""
         SELECT star_id AS src, n1 AS dst, {_r('r1 / (r1 + r2)')} AS w FROM raw UNION ALL SELECT star_id, n2, {_r('r2 / (r1 + r2)')} FROM raw""",
+    "lle_weights_three": _with(*EMB_KNN, f"""
+flx AS (SELECT star_id, list(CAST(flux AS DOUBLE) ORDER BY pix) AS v FROM emb GROUP BY star_id),
+three AS (SELECT p.star_id, p.nbr_id AS n1, s.nbr_id AS n2, t.nbr_id AS n3 FROM knn p JOIN knn s ON s.star_id = p.star_id AND p.rank = 1 AND s.rank = 2
+          JOIN knn t ON t.star_id = p.star_id AND t.rank = 3),
+gaps AS (SELECT t.star_id, n1, n2, n3, {_gap('b.v', 'a.v')} AS d1, {_gap('c.v', 'a.v')} AS d2, {_gap('e.v', 'a.v')} AS d3
+         FROM three t JOIN flx a ON a.star_id = t.star_id JOIN flx b ON b.star_id = n1 JOIN flx c ON c.star_id = n2 JOIN flx e ON e.star_id = n3),
+dots AS (SELECT star_id, n1, n2, n3, {_dot('d1', 'd1')} AS p11, {_dot('d2', 'd2')} AS p22, {_dot('d3', 'd3')} AS p33,
+                {_dot('d1', 'd2')} AS g12, {_dot('d1', 'd3')} AS g13, {_dot('d2', 'd3')} AS g23 FROM gaps),
+gram AS (SELECT *, p11 + ridge AS g11, p22 + ridge AS g22, p33 + ridge AS g33 FROM (SELECT *, CAST(0.001 AS DOUBLE) * (p11 + p22 + p33) AS ridge FROM dots)),
+raw AS (SELECT star_id, n1, n2, n3, g22 * g33 - g23 * g23 + g13 * g23 - g12 * g33 + g12 * g23 - g13 * g22 AS r1,
+               g13 * g23 - g12 * g33 + g11 * g33 - g13 * g13 + g12 * g13 - g11 * g23 AS r2,
+               g12 * g23 - g13 * g22 + g12 * g13 - g11 * g23 + g11 * g22 - g12 * g12 AS r3 FROM gram)""") + f"""
+        SELECT star_id AS src, unnest([n1, n2, n3]) AS dst, unnest([{_r('r1 / (r1 + r2 + r3)')}, {_r('r2 / (r1 + r2 + r3)')}, {_r('r3 / (r1 + r2 + r3)')}]) AS w FROM raw""",
     "system_diag": _with(*EMB_KNN) + f"""SELECT e.vec_id AS star_id, {_r('1 + count(k.nbr_id) * CAST(0.1 AS DOUBLE) * CAST(0.1 AS DOUBLE)')} AS diag
         FROM embeddings e LEFT JOIN knn k ON k.nbr_id = e.vec_id GROUP BY e.vec_id""",
     "anchor_check": _with(DOC, _knn(3, "doc"), _edges(), COMPONENTS, recursive=True) + """SELECT DISTINCT comp FROM comps WHERE comp NOT IN
@@ -243,22 +273,22 @@ spacing AS (SELECT star_id, r FROM near QUALIFY row_number() OVER (PARTITION BY
     "label_error": _with(LABELS) + f"SELECT axis, {_r(ERR)} AS err FROM scored GROUP BY axis",
     "label_r2": _with(LABELS) + f"""SELECT axis, {_r(ERR)} AS err, {_r('1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*))')} AS r2
         FROM scored GROUP BY axis""",
-    "linear_probe": f"SELECT {_r('regr_r2(label, CAST(embedding[1] AS DOUBLE))', 8)} AS r2 FROM embeddings",
-    "quadratic_map": _with("""
-xy AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(label AS DOUBLE) AS y FROM embeddings),
+    "linear_probe": f"SELECT {_r('regr_r2(label, ' + _fold(1, 0) + ')', 8)} AS r2 FROM embeddings",
+    "quadratic_map": _with(f"""
+xy AS (SELECT {_fold(1, 0)} AS x, CAST(label AS DOUBLE) AS y FROM embeddings),
 lin AS (SELECT regr_slope(y, x) AS slope_y, regr_intercept(y, x) AS at_y, regr_slope(x * x, x) AS slope_q, regr_intercept(x * x, x) AS at_q,
                var_pop(y) * count(*) AS sst FROM xy),
 res AS (SELECT y - at_y - slope_y * x AS ry, x * x - at_q - slope_q * x AS rq, sst FROM xy, lin)""") + f"""
         SELECT CAST(3 AS BIGINT) AS terms, {_r('1 - (sum(ry * ry) - sum(ry * rq) ^ 2 / sum(rq * rq)) / max(sst)', 8)} AS r2 FROM res""",
-    "design": f"""WITH z AS (SELECT vec_id AS star_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+    "design": f"""WITH z AS (SELECT vec_id AS star_id, {_fold(2, 0)} AS a, {_fold(2, 1)} AS b FROM embeddings),
         basis AS (SELECT star_id, [1, a, b, a * a, a * b, b * b, a * a * a, a * a * b, a * b * b, b * b * b] AS t FROM z)
         SELECT star_id, i AS term, {_r('t[i + 1]')} AS v FROM basis, range(10) r(i)""",
-    "pair_jitter": _with("pts AS (SELECT vec_id AS star_id, CAST(embedding[1:4] AS DOUBLE[]) AS c FROM embeddings)", f"""
+    "pair_jitter": _with(_points(4), f"""
 numbered AS (SELECT *, row_number() OVER (ORDER BY star_id) - 1 AS rn FROM pts),
 jit AS (SELECT sqrt({_squares('a.c', 'b.c')}) / sqrt(2) AS j FROM numbered a JOIN numbered b ON a.rn % 2 = 0 AND b.rn = a.rn + 1),
 near AS (SELECT a.star_id, sqrt({_squares('a.c', 'b.c')}) AS r FROM pts a JOIN pts b ON a.star_id <> b.star_id),
 tenth AS (SELECT r FROM near QUALIFY row_number() OVER (PARTITION BY star_id ORDER BY r) = 10)""") + f"""
         SELECT {_r('(SELECT quantile_cont(j, 0.5) FROM jit) / (SELECT quantile_cont(r, 0.5) FROM tenth)')} AS jitter""",
-    "oriented": f"""WITH s AS (SELECT CASE WHEN corr(CAST(embedding[1] AS DOUBLE), label) < 0 THEN -1 ELSE 1 END AS sign FROM embeddings)
-        SELECT vec_id AS star_id, {_r('sign * CAST(embedding[1] AS DOUBLE)')} AS c FROM embeddings, s""",
+    "oriented": f"""WITH s AS (SELECT CASE WHEN corr({_fold(1, 0)}, label) < 0 THEN -1 ELSE 1 END AS sign FROM embeddings)
+        SELECT vec_id AS star_id, {_r('sign * ' + _fold(1, 0))} AS c FROM embeddings, s""",
 }
