@@ -244,10 +244,10 @@ raw AS (SELECT *, g22 + CAST(0.001 AS DOUBLE) * (g11 + g22) - g12 AS r1, g11 + C
 flx AS (SELECT star_id, list(CAST(flux AS DOUBLE) ORDER BY pix) AS v FROM emb GROUP BY star_id),
 three AS (SELECT p.star_id, p.nbr_id AS n1, s.nbr_id AS n2, t.nbr_id AS n3 FROM knn p JOIN knn s ON s.star_id = p.star_id AND p.rank = 1 AND s.rank = 2
           JOIN knn t ON t.star_id = p.star_id AND t.rank = 3),
-gaps AS (SELECT t.star_id, n1, n2, n3, {_gap('b.v', 'a.v')} AS d1, {_gap('c.v', 'a.v')} AS d2, {_gap('e.v', 'a.v')} AS d3
+apart AS (SELECT t.star_id, n1, n2, n3, {_gap('b.v', 'a.v')} AS d1, {_gap('c.v', 'a.v')} AS d2, {_gap('e.v', 'a.v')} AS d3
          FROM three t JOIN flx a ON a.star_id = t.star_id JOIN flx b ON b.star_id = n1 JOIN flx c ON c.star_id = n2 JOIN flx e ON e.star_id = n3),
 dots AS (SELECT star_id, n1, n2, n3, {_dot('d1', 'd1')} AS p11, {_dot('d2', 'd2')} AS p22, {_dot('d3', 'd3')} AS p33,
-                {_dot('d1', 'd2')} AS g12, {_dot('d1', 'd3')} AS g13, {_dot('d2', 'd3')} AS g23 FROM gaps),
+                {_dot('d1', 'd2')} AS g12, {_dot('d1', 'd3')} AS g13, {_dot('d2', 'd3')} AS g23 FROM apart),
 gram AS (SELECT *, p11 + ridge AS g11, p22 + ridge AS g22, p33 + ridge AS g33 FROM (SELECT *, CAST(0.001 AS DOUBLE) * (p11 + p22 + p33) AS ridge FROM dots)),
 raw AS (SELECT star_id, n1, n2, n3, g22 * g33 - g23 * g23 + g13 * g23 - g12 * g33 + g12 * g23 - g13 * g22 AS r1,
                g13 * g23 - g12 * g33 + g11 * g33 - g13 * g13 + g12 * g13 - g11 * g23 AS r2,

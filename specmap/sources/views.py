@@ -30,8 +30,11 @@ def embeddings(spark: SparkSession, path: str) -> DataFrame:
 def coordinates(spark: SparkSession, path: str, d: int) -> DataFrame:
     """(star_id, c): d coordinates of each vector, each the sum of every d-th of all its elements."""
     df = spark.read.parquet(f"{path}/embeddings.parquet")
-    folded = [F.aggregate(F.filter("embedding", lambda e, i, j=j: i % d == j), F.lit(0.0), lambda s, e: s + e.cast("double")) for j in range(d)]
-    return df.select(F.col("vec_id").alias("star_id"), F.array(*folded).alias("c"))
+
+    def fold(j: int) -> Column:
+        return F.aggregate(F.filter("embedding", lambda e, i: i % d == j), F.lit(0.0), lambda s, e: s + e.cast("double"))
+
+    return df.select(F.col("vec_id").alias("star_id"), F.array(*map(fold, range(d))).alias("c"))
 
 
 def event_days(spark: SparkSession, path: str) -> tuple[DataFrame, list[int]]:
