@@ -246,11 +246,22 @@ _ASCII_SPACE = regex.compile(r"[\x20\x09-\x0D]+")
 _CONTROL = regex.compile(r"[\x1c-\x1f]").search
 
 
+_held: dict[str, Vocabulary] = {}
+
+
+def of_worker(path: str) -> Vocabulary:
+    """The vocabulary of a file, made once in each Python worker: its tables and what it remembers serve all tasks."""
+    if path not in _held:
+        _held.clear()
+        _held[path] = Vocabulary(path)
+    return _held[path]
+
+
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of the whole text of every row."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        vocabulary = of_worker(path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:
             for rows, part in byte_runs(batch, pc.fill_null(batch.column("text"), "")):
