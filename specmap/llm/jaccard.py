@@ -45,6 +45,8 @@ PARITY = 4
 FIRST = 6
 #: Texts whose sizes differ by less than about this factor meet first.
 LIKE = 1.12
+#: Bits of the map of shingles that several components share (as a binary logarithm).
+OPEN_BITS = 22
 #: Ids are broadcast up to so many rows; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -177,13 +179,17 @@ def _distinct_pairs(met: DataFrame, share: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    held = cut(pairs)
-    ids = held.select(F.col("a").alias("id")).union(held.select("b")).distinct()
-    sets = cut(_sets(texts.join(_small(cut(ids)), "id", "left_semi"), k).dropDuplicates())
-    whole = lambda side: sets.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}"))
-    both = held.join(whole("a"), "a").join(whole("b"), "b")
-    return cut(both.filter(_enough(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"), share)).select("a", "b").distinct())
+    """The pairs (a, b) that link, by their whole sets: each set is made beside the pairs that ask for it and sent once to
+    each of them."""
+    held = cut(pairs.select("a", "b"))
+    asked = held.select(F.col("a").alias("id"), "a", "b").union(held.select("b", "a", "b"))
+    wanted = cut(asked.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("pairs")))
+    sets = _sets(texts.join(_small(wanted.select("id")), "id", "left_semi"), k)
+    sent = sets.join(_small(wanted), "id").select("id", "set", F.explode("pairs").alias("p")).select("p.a", "p.b", "id", "set")
+    # an id with several texts has several sets
+    both = sent.groupBy("a", "b").agg(F.collect_set(F.when(F.col("id") == F.col("a"), F.col("set"))).alias("of_a"), F.collect_set(F.when(F.col("id") == F.col("b"), F.col("set"))).alias("of_b"))
+    like = lambda x, y: _enough(F.size(F.array_intersect(x, y)), F.size(x), F.size(y), share)
+    return cut(both.filter(F.exists("of_a", lambda x: F.exists("of_b", lambda y: like(x, y)))).select("a", "b"))
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -213,12 +219,44 @@ def _stars(nodes: DataFrame, share: int) -> DataFrame:
     return near.select("id", "x.*")
 
 
+def _open_bits(open_: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the hashes of shingles that texts of several components share."""
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << OPEN_BITS, bool)
+        for batch in batches:
+            bits[batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - OPEN_BITS)] = True
+        packed = np.packbits(bits, bitorder="little")
+        used = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(packed[used].astype(np.int32))], ["at", "byte"])
+
+    found = open_.select("key").mapInArrow(stage, "at int, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()      # a row per byte of the bitmap
+    out = np.zeros(1 << (OPEN_BITS - 3), np.uint8)
+    out[found.column("at").to_numpy()] = found.column("byte").to_numpy()
+    return out
+
+
 def _across(nodes: DataFrame, share: int) -> DataFrame:
     """Pairs of nodes of different components under any shingle of both prefixes."""
-    # only what a shingle needs is shuffled; the rest joins what is left, few rows under shingles of several components
-    rows = nodes.select("id", "label", F.posexplode("keys").alias("pos", "key")).repartition("key")
-    open_ = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    live = cut(rows.join(open_, "key").select("key", "id", "pos").join(nodes.select("id", "n", "label", *_BITS), "id"))
+    keys = nodes.select("label", F.explode("keys").alias("key"))
+    open_ = cut(keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"))
+    bits = _open_bits(open_)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            key = lists.flatten().to_numpy()
+            length = lists.value_lengths().to_numpy()
+            ends = np.cumsum(length)
+            pos = np.arange(len(key)) - np.repeat(ends - length, length)
+            at = key.view(np.uint64) >> np.uint64(64 - OPEN_BITS)
+            may = np.flatnonzero((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+            row = np.repeat(np.arange(len(length)), length)[may]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(key[may]), pa.array(pos[may].astype(np.int32))], ["id", "key", "pos"])
+
+    # shingles that the bitmap lets pass are few beside all; the join leaves the open ones alone
+    rows = nodes.select("id", "keys").mapInArrow(stage, "id long, key long, pos int").join(open_, "key")
+    live = cut(rows.join(nodes.select("id", "n", "label", *_BITS), "id"))
     return live.join(_marked(live), (F.col("key") == F.col("_key")) & (F.col("id") < F.col("_id")) & _fits(share))
 
 
