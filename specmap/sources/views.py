@@ -11,6 +11,7 @@ from .spectra import coerce
 EMB_PIXELS = 64
 EMB_SEGMENTS = [0] * 32 + [1] * 32
 DOC_SEGMENTS = [0] * 26
+TEXT_BYTES = 1 << 20       # bytes of text whose letters are counted at once; one longer text is cut into such pieces
 
 
 def _indexed(n: int, cell) -> Column:
@@ -65,9 +66,15 @@ def letter_counts(texts: pa.Array) -> np.ndarray:
         slot[[ord(letter), ord(letter.upper())]] = at
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
-    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    return np.bincount(row * 27 + slot[data], minlength=27 * len(texts)).reshape(-1, 27)[:, :26]
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    out = np.zeros((len(texts), 27), np.int64)
+    for at in range(int(offsets[0]) if len(texts) else 0, int(offsets[-1]) if len(texts) else 0, TEXT_BYTES):
+        end = min(at + TEXT_BYTES, int(offsets[-1]))
+        first, last = np.searchsorted(offsets, at, "right") - 1, np.searchsorted(offsets, end, "left")     # the texts of these bytes
+        held = np.diff(np.clip(offsets[first:last + 1], at, end))
+        row = np.repeat(np.arange(len(held)), held)
+        out[first:last] += np.bincount(row * 27 + slot[data[at:end]], minlength=27 * len(held)).reshape(-1, 27)
+    return out[:, :26]
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:

@@ -2,9 +2,11 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from specmap.functions import blocks, kernels
+from specmap.sources import views
 
 
 def whole(a, a_ids, b, b_ids, k, metric):
@@ -51,3 +53,16 @@ def test_memory_of_a_block_does_not_grow_with_its_rows():
     x = np.random.default_rng(1).random((4096, 4), np.float32)
     ids = np.arange(4096)
     assert peak(lambda: folded(x, ids, x, ids, 3, "l1")) < 16 << 20          # the whole table has 128 MB
+
+
+def test_letters_are_counted_piece_by_piece(monkeypatch):
+    texts = ["abcA" * 3, None, "", "z" * 100, "héllo", "", "x", None]
+    want = [[(t or "").lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+    for size in (1, 3, 7, 1 << 20):
+        monkeypatch.setattr(views, "TEXT_BYTES", size)
+        assert views.letter_counts(pa.array(texts)).tolist() == want
+        assert views.letter_counts(pa.array(["qq", *texts, "rr"]).slice(1, 8)).tolist() == want
+        assert views.letter_counts(pa.array([], pa.string())).shape == (0, 26)
+    monkeypatch.undo()
+    long = pa.array(["abc def " * 1_000_000] * 2)
+    assert peak(lambda: views.letter_counts(long)) < 64 << 20                # at once, 16 MB of text took 366 MB
