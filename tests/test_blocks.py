@@ -66,3 +66,32 @@ def test_letters_are_counted_piece_by_piece(monkeypatch):
     monkeypatch.undo()
     long = pa.array(["abc def " * 1_000_000] * 2)
     assert peak(lambda: views.letter_counts(long)) < 64 << 20                # at once, 16 MB of text took 366 MB
+
+
+@pytest.mark.parametrize("columns", [16, 19, 70])
+def test_sums_of_columns_spare_most_of_the_work(columns, monkeypatch):
+    rng = np.random.default_rng(columns)
+    x = rng.random((6, columns)).cumsum(axis=1)[rng.integers(0, 6, 900)]                 # smooth curves around six others
+    x = (x + 0.02 * rng.random((900, columns)).cumsum(axis=1)).astype(np.float32)
+    x[::9] = x[4]                                                                        # some of them copies
+    ids, k = rng.permutation(900), 5
+    want = whole(x, ids, x, ids, k, "l1")
+    numbers, apart = [], kernels._Levels.apart
+    monkeypatch.setattr(kernels, "TILE", (64, 256))
+    monkeypatch.setattr(kernels._Levels, "apart", lambda self, rows, cols: numbers.append(
+        self.a.shape[1] * (rows.stop - rows.start) * (cols.stop - cols.start)) or apart(self, rows, cols))
+    for limit in (None, want[0][:, -1]):
+        numbers.clear()
+        got = folded(x, ids, x, ids, k, "l1", limit)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    assert sum(numbers) < 0.5 * columns * 900 * 900                                      # all columns of all pairs before
+
+
+def test_pairs_have_the_bits_of_the_table():
+    x = np.random.default_rng(0).normal(size=(600, 193)).astype(np.float32) * np.logspace(-3, 3, 193, dtype=np.float32)
+    table = kernels.l1_cross(x, x)
+    for n in (0, 1, 2, 7, 255, 256, 257, 513):
+        row, col = np.random.default_rng(n).integers(0, 600, (2, n))
+        assert np.array_equal(kernels.l1_picked(x, x, row, col), table[row, col])
+        assert np.array_equal(kernels.l1_matched(x[row], x[col]), table[row, col])
+    assert kernels.l1_matched(x[:3, :0], x[:3, :0]).tolist() == [0, 0, 0]
