@@ -39,9 +39,11 @@ TILE_BITS = 10
 #: Occurrences in a batch from which a tile is counted densely.
 DENSE = 1 << 17
 #: Tiles whose sizes are counted directly.
-GRID = 1 << 22
+GRID = 1 << 20
 #: Pairs that a task counts at once.
 PAIRS = 1 << 22
+#: Pairs whose places are worked out at once.
+PIECE = 1 << 18
 #: Bytes of text in a slice.
 SLICE = 1 << 21
 #: Bytes of text that a task keeps for slices of several languages.
@@ -175,35 +177,61 @@ def _next(p: np.ndarray, w: np.ndarray, length: int, known: np.ndarray, ids: np.
     return out
 
 
-def tile_counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and how often each occurs. Tiles with many codes are counted by direct address."""
-    mask = np.int64((1 << TILE_BITS) - 1)
-    p, w = codes >> np.int64(WORD_BITS), codes & np.int64((1 << WORD_BITS) - 1)
-    tile = ((p >> np.int64(TILE_BITS)) << np.int64(WORD_BITS)) | (w >> np.int64(TILE_BITS))
-    top_p, top_w = (int(x.max(initial=0) >> TILE_BITS) + 1 for x in (p, w))
+def _tile(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the tile of each code."""
+    return codes >> np.int64(WORD_BITS + TILE_BITS), (codes & np.int64((1 << WORD_BITS) - 1)) >> np.int64(TILE_BITS)
+
+
+def _dense_tiles(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the tiles that hold `DENSE` codes or more, in ascending order."""
+    tops = [[int(x.max(initial=0)) + 1 for x in _tile(part)] for part in parts]
+    top_p, top_w = (max(x, default=1) for x in zip(*tops, strict=True))
     if top_p * top_w <= GRID:
-        size = np.bincount((p >> TILE_BITS) * top_w + (w >> TILE_BITS), minlength=top_p * top_w)
+        size = np.zeros(top_p * top_w, np.int64)
+        for part in parts:
+            p, w = _tile(part)
+            p *= top_w
+            p += w
+            size += np.bincount(p, minlength=len(size))
         dense = np.flatnonzero(size >= DENSE)
-        dense = ((dense // top_w) << np.int64(WORD_BITS)) | dense % top_w
-    else:
-        found, size = np.unique(tile, return_counts=True)
-        dense = found[size >= DENSE]
-    out, times = [], []
+        return dense // top_w, dense % top_w
+    found = [np.unique(_code(*_tile(part)), return_counts=True) for part in parts]
+    tiles, place = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    size = np.bincount(place, np.concatenate([n for _, n in found]), len(tiles))
+    dense = tiles[size >= DENSE]
+    return dense >> np.int64(WORD_BITS), dense & np.int64((1 << WORD_BITS) - 1)
+
+
+def tile_counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and how often each occurs. Tiles with many codes are counted by direct address.
+
+    Working copies are `PIECE` codes long, so that a task needs little more than its codes and their counts.
+    """
+    if not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    mask = np.int64((1 << TILE_BITS) - 1)
+    parts = [codes[lo : lo + PIECE] for lo in range(0, len(codes), PIECE)]
+    dense_p, dense_w = _dense_tiles(parts)
     sparse = np.ones(len(codes), bool)
-    for number in dense:
-        mine = tile == number
-        sparse &= ~mine
-        counted = np.bincount(((p[mine] & mask) << np.int64(TILE_BITS)) | (w[mine] & mask), minlength=1 << (2 * TILE_BITS))
+    out, times = [], []
+    for at_p, at_w in zip(dense_p, dense_w, strict=True):
+        counted = np.zeros(1 << (2 * TILE_BITS), np.int64)
+        for number, part in enumerate(parts):
+            p, w = _tile(part)
+            mine = (p == at_p) & (w == at_w)
+            sparse[number * PIECE : number * PIECE + len(part)] &= ~mine
+            part = part[mine]
+            counted += np.bincount((((part >> np.int64(WORD_BITS)) & mask) << np.int64(TILE_BITS)) | (part & mask), minlength=len(counted))
         cell = np.flatnonzero(counted)
-        first_p, first_w = (number >> np.int64(WORD_BITS)) << np.int64(TILE_BITS), (number & np.int64((1 << WORD_BITS) - 1)) << np.int64(TILE_BITS)
-        out.append(_code(first_p + (cell >> TILE_BITS), first_w + (cell & mask)))
+        out.append(_code((at_p << np.int64(TILE_BITS)) + (cell >> TILE_BITS), (at_w << np.int64(TILE_BITS)) + (cell & mask)))
         times.append(counted[cell])
-    rest = np.sort(codes[sparse])
+    rest = codes[sparse]
+    rest.sort()
     if len(rest):
-        first = np.flatnonzero(np.diff(rest, prepend=rest[0] - 1))
+        first = np.flatnonzero(np.append(True, rest[1:] != rest[:-1]))
         out.append(rest[first])
-        times.append(np.diff(np.append(first, len(rest))))
-    return (np.concatenate(out), np.concatenate(times)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        times.append(np.diff(first, append=len(rest)))
+    return np.concatenate(out), np.concatenate(times)
 
 
 class Corpus:
@@ -235,7 +263,9 @@ class Corpus:
             held, size = [], 0
 
             def emit() -> pa.RecordBatch:
-                codes, times = tile_counts(np.concatenate(held))
+                codes = np.concatenate(held)
+                held.clear()
+                codes, times = tile_counts(codes)
                 return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times.astype(np.int64))], ["code", "f"])
 
             for batch in batches:

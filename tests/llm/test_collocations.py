@@ -82,3 +82,16 @@ def test_scores_beyond_64_bits(spark):
     df = spark.createDataFrame([(big, big, big, big)], "a long, n long, l long, r long")
     text = co.SCORE
     assert df.selectExpr(f"{text} AS s").first().s == 1000 * big * big // (big * big)
+
+
+def test_counting_needs_little_more_than_codes_and_counts():
+    import tracemalloc
+
+    spread = np.random.default_rng(3)
+    codes = co._code((30000 ** spread.random(1 << 21)).astype(np.int64), (30000 ** spread.random(1 << 21)).astype(np.int64))
+    tracemalloc.start()
+    got, times = co.tile_counts(codes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert times.sum() == len(codes) and len(np.unique(got)) == len(got)
+    assert peak < 4.5 * codes.nbytes                                            # six times the codes and more before
