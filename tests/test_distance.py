@@ -112,3 +112,35 @@ def test_landmark_query_measures_only_to_its_landmarks(spark, monkeypatch):
     got = {r["star_id"]: r["separation"] for r in catalogue.landmark_mds(spark, path).collect()}
     assert got.keys() == rows.keys()
     assert all(abs(got[i] - np.linalg.norm(x - rows[min(rows)])) < 2e-5 for i, x in rows.items())
+
+
+def test_tables_made_by_blocks(spark, table):
+    """Centred blocks are the centred table; wide rows are the table by groups of columns, whatever the ids."""
+    x = np.random.default_rng(9).normal(size=(29, 5)).astype(np.float32)
+    square = l1_table(x).astype(float) ** 2
+    want = -0.5 * (square - square.mean(axis=0) - square.mean(axis=1)[:, None] + square.mean())
+    got = dm.pairwise_centred(table(x), block=8).collect()
+    assert len({(r["i"], r["j"]) for r in got}) == len(got) == 29 * 29
+    assert all(abs(r["b"] - want[r["i"], r["j"]]) < 1e-9 for r in got)
+    assert not dm.pairwise_centred(table(x).limit(0), block=8).collect()
+    names = spark.createDataFrame([(i, 28 - i) for i in range(29)], "star_id long, ord long")
+    rows = {(r["star_id"], r["part"]): r["d"] for r in dm.pairwise_rows(table(x), names, 10).collect()}
+    assert {len(d) for (_, part), d in rows.items() if part < 2} == {10} and len(rows) == 3 * 29
+    apart = np.linalg.norm(x[:, None].astype(float) - x[None].astype(float), axis=2)
+    for i in range(29):
+        np.testing.assert_allclose(sum((rows[i, part] for part in range(3)), []), apart[i, ::-1], atol=1e-6)
+
+
+def test_scaling_queries_move_no_pairs(spark, monkeypatch):
+    """The long table of all pairs is neither written nor joined on the way to the scaling queries."""
+    from specmap.operators import coordinates, distance
+    from specmap.plans import catalogue
+
+    def long_table(*_, **__):
+        raise AssertionError("long table")
+
+    for module, name in ((distance, "pairwise"), (coordinates, "double_centre"), (coordinates, "classical_mds")):
+        monkeypatch.setattr(module, name, long_table)
+    path = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{path}/embeddings.parquet").count()
+    assert catalogue.classical_mds(spark, path).count() == n and catalogue.mds_centering(spark, path).count() == n * n
