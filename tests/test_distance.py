@@ -144,3 +144,10 @@ def test_scaling_queries_move_no_pairs(spark, monkeypatch):
     path = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{path}/embeddings.parquet").count()
     assert catalogue.classical_mds(spark, path).count() == n and catalogue.mds_centering(spark, path).count() == n * n
+
+
+def test_blocks_are_not_sent_through_the_driver(spark, table):
+    full = dm.pairwise(table(np.random.default_rng(5).normal(size=(40, 6)).astype(np.float32)), block=8)
+    assert full.count() == 1600
+    full.collect()
+    assert "Broadcast" not in full._jdf.queryExecution().executedPlan().toString()
