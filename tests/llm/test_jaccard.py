@@ -132,5 +132,42 @@ def test_hot_shingles_and_groups_make_few_candidates(spark):
     assert many <= 5 * max(few, 60)
 
 
+def test_near_copies_meet_the_text_they_come_from(spark):
+    """Members differ from their source in one or two words, from each other often too much: they need not meet."""
+    draw = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        text = list(base)
+        for at in draw.sample(range(150), 1 + i % 2):
+            text[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(text)))
+    counted = []
+    across = jaccard._across
+    jaccard._across = lambda nodes, share: counted.append(across(nodes, share)) or counted[-1]
+    try:
+        assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+    finally:
+        jaccard._across = across
+    assert counted[0].count() <= len(rows)
+
+
+def test_long_texts_that_share_half_are_not_compared_whole(spark):
+    """A few parities say nothing of texts of thousands of words; only the pair that links goes on to its sets."""
+    draw = random.Random(8)
+    shared = [f"s{i}" for i in range(2000)]
+    texts = [" ".join(shared + [f"t{j}x{draw.randint(0, 10**9)}" for _ in range(2000)]) for j in range(6)]
+    texts.append(texts[0] + " and one end")
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    verified = jaccard._verified
+    jaccard._verified = lambda pairs, *rest: seen.append({(r["a"], r["b"]) for r in pairs.collect()}) or verified(pairs, *rest)
+    try:
+        assert got(table) == brute(enumerate(texts))
+    finally:
+        jaccard._verified = verified
+    assert seen[-1] <= {(0, 6)}
+
+
 def test_few_jobs(spark, docs):
     assert jobs(spark, lambda: jaccard.components_of(docs).collect()) <= 70
