@@ -54,7 +54,7 @@ TRIED = 3
 #: Texts whose sizes differ by less than about this factor meet first.
 LIKE = 1.12
 #: Bits of the map of shingles that several components share (as a binary logarithm).
-OPEN_BITS = 22
+OPEN_BITS = 24
 #: Ids are broadcast up to so many rows; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -355,13 +355,18 @@ def _stars(nodes: DataFrame, share: int) -> DataFrame:
     return pairs.select(pick("id", "_id").alias("a"), pick("_id", "id").alias("b"), pick("n", "_n").alias("na"), pick("_n", "n").alias("nb")).distinct()
 
 
+def _place(keys: np.ndarray) -> np.ndarray:
+    """A shingle's bit in that map: by the low end of its hash, for prefixes gather where counters, its high end, are low."""
+    return keys.view(np.uint64) & np.uint64((1 << OPEN_BITS) - 1)
+
+
 def _open_bits(open_: DataFrame) -> np.ndarray:
     """A bitmap of fixed size over the hashes of shingles that texts of several components share."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << OPEN_BITS, bool)
         for batch in batches:
-            bits[batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - OPEN_BITS)] = True
+            bits[_place(batch.column("key").to_numpy())] = True
         packed = np.packbits(bits, bitorder="little")
         used = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(packed[used].astype(np.int32))], ["at", "byte"])
@@ -385,7 +390,7 @@ def _across(nodes: DataFrame, share: int) -> DataFrame:
             length = lists.value_lengths().to_numpy()
             ends = np.cumsum(length)
             pos = np.arange(len(key)) - np.repeat(ends - length, length)
-            at = key.view(np.uint64) >> np.uint64(64 - OPEN_BITS)
+            at = _place(key)
             may = np.flatnonzero((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
             row = np.repeat(np.arange(len(length)), length)[may]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(key[may]), pa.array(pos[may].astype(np.int32))], ["id", "key", "pos"])

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 from conftest_llm import LOWER, words
 
 from specmap.llm import jaccard
@@ -169,5 +170,12 @@ def test_long_texts_that_share_half_are_not_compared_whole(spark):
     assert seen[-1] <= {(0, 6)}
 
 
+def test_map_of_open_shingles_is_used_evenly():
+    """Prefixes hold shingles of few counters, the leading bits of their hashes; their places in the map are spread."""
+    draw = np.random.default_rng(9)
+    keys = draw.integers(0, 1 << 60, 100_000, np.uint64).view(np.int64)            # one counter in 16
+    assert len(np.unique(jaccard._place(keys))) > 95_000
+
+
 def test_few_jobs(spark, docs):
     assert jobs(spark, lambda: jaccard.components_of(docs).collect()) <= 70
