@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 
 from specmap.functions import blocks
-from specmap.operators import neighbours as nb
+from specmap.operators import geodesics as geo, neighbours as nb
 
 
 @pytest.fixture
@@ -46,3 +46,34 @@ def test_a_small_side_is_one_group_or_few(spark, table, dealt, monkeypatch):
     found = {r["star_id"] - 5000: r for r in nb.nearest(asked, vectors, 1).collect()}
     apart = np.abs(few[:, None, :].astype(np.float64) - x[None]).sum(axis=2)
     assert all(found[i]["nbr_id"] == apart[i].argmin() and abs(found[i]["dist"] - apart[i].min()) < 1e-5 for i in range(30))
+
+
+def test_paths_are_relaxed_in_bounded_memory():
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    n, edges, marks = 500, 60_000, 128
+    into, target = rng.integers(0, n, (2, edges))
+    target.sort()
+    weight = rng.random(edges)
+    dist = np.full((n, marks), np.inf)
+    dist[rng.integers(0, n, marks), np.arange(marks)] = 0.0
+    want, before = dist.copy(), np.zeros(0)
+    while not np.array_equal(want, before):                                       # rounds of all edges
+        before = want.copy()
+        np.minimum.at(want, target, before[into] + weight[:, None])
+    tracemalloc.start()
+    geo._relax(dist, np.isfinite(dist), target, into, weight)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(dist, want) and most < 96 << 20                         # all landmarks at once: 120 MB
+
+
+def test_offers_to_one_star_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(geo, "MERGE_ROWS", 5)
+    rows = [(b, 0, [7, 9, 7], [0, 0, 2], [float(5 + s), 2.0 * s, 1.0]) for b in (0, 1) for s in range(6)]
+    news = spark.createDataFrame(rows, "block long, part int, stars array<long>, cols array<int>, ds array<double>")
+    got = {r["block"]: sorted(zip(r["stars"], r["cols"], r["ds"])) for r in geo._merged(news, 3).collect()}
+    assert got == {b: [(7, 0, 5.0), (7, 2, 1.0), (9, 0, 0.0)] for b in (0, 1)}
+    star = np.array([3, 3, 3, 5, 5, 8])                                           # blocks of stars, by their edges
+    first, ends = np.array([0, 2, 4, 10, 11, 12]), np.array([2, 4, 10, 11, 12, 20])
+    assert list(geo._pieces(star, first, ends, 4)) == [(0, 2), (2, 3), (3, 5), (5, 6)]
