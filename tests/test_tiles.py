@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 
 from specmap.functions import blocks
-from specmap.operators import geodesics as geo, neighbours as nb
+from specmap.operators import coordinates as co, distance as dm, geodesics as geo, neighbours as nb
 
 
 @pytest.fixture
@@ -77,3 +77,34 @@ def test_offers_to_one_star_are_merged(spark, monkeypatch):
     star = np.array([3, 3, 3, 5, 5, 8])                                           # blocks of stars, by their edges
     first, ends = np.array([0, 2, 4, 10, 11, 12]), np.array([2, 4, 10, 11, 12, 20])
     assert list(geo._pieces(star, first, ends, 4)) == [(0, 2), (2, 3), (3, 5), (5, 6)]
+
+
+def test_blocks_of_all_pairs_are_sent_once_to_a_group(spark, table, monkeypatch):
+    sent, deal = [], type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, *a: sent.append(self) or deal(self, *a))
+    x = np.random.default_rng(6).normal(size=(400, 3)).astype(np.float32)
+    full = dm.pairwise(table(x), block=8)
+    rows = [df.count() for df in sent]
+    want = np.abs(x[:, None, :].astype(np.float64) - x[None]).sum(axis=2)
+    got = full.collect()
+    assert len({(r["star_id"], r["other_id"]) for r in got}) == len(got) == 400 * 400
+    assert all(abs(r["dist"] - want[r["star_id"], r["other_id"]]) < 1e-5 for r in got)
+    assert sum(rows) < 50 * 20                                                    # 50 blocks beside 50: 2,550 before
+
+
+def test_scaling_of_all_points_writes_no_distances(spark, table, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3)) * [3.0, 2.0, 1.0]
+    names = spark.createDataFrame([(i, (7 * i) % 300) for i in range(300)], "star_id long, ord long")
+    written, write = [], co.cut
+    monkeypatch.setattr(co, "cut", lambda df: written.append(df) or write(df))
+    for limit in (1000, 100):                                                     # on the driver, by subspace iteration
+        written.clear()
+        again = dm.pairwise_rows(table(x, "c"), names, 32, column="c", again=True)
+        coords, values = co.landmark_mds(again, names, 3, group=32, limit=limit)
+        got = np.array([r["c"] for r in coords.orderBy("star_id").collect()])
+        apart = lambda p: np.linalg.norm(p[:, None] - p[None], axis=2)
+        assert np.abs(apart(got) - apart(x)).max() < 1e-5
+        assert limit == 1000 or not any("d" in df.columns for df in written)
+    long = dm.pairwise_rows(table(x, "c"), names, 32, column="c")
+    assert np.allclose(co.landmark_mds(long, names, 3, group=32, limit=100)[1][:3], values[:3])
