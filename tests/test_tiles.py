@@ -108,3 +108,25 @@ def test_scaling_of_all_points_writes_no_distances(spark, table, monkeypatch):
         assert limit == 1000 or not any("d" in df.columns for df in written)
     long = dm.pairwise_rows(table(x, "c"), names, 32, column="c")
     assert np.allclose(co.landmark_mds(long, names, 3, group=32, limit=100)[1][:3], values[:3])
+
+
+def test_the_best_pairs_of_every_star():
+    star, other = np.array([4, 4, 4, 4, 2, 2]), np.array([9, 1, 9, 3, 5, 6])
+    dist = np.array([2.0, 1.0, 2.0, 1.0, 7.0, 0.5], np.float32)
+    got = nb._best_pairs(star, other, dist, 2)
+    assert [c.tolist() for c in got] == [[2, 2, 4, 4], [6, 5, 1, 3], [0.5, 7.0, 1.0, 1.0]]
+    assert all(len(c) == 0 for c in nb._best_pairs(star[:0], other[:0], dist[:0], 2))
+
+
+def test_a_vector_is_sent_to_a_cell_once(spark, table, monkeypatch):
+    monkeypatch.setattr(nb, "TESTED_ROWS", 500, raising=False)
+    sent, sort = [], type(spark.range(0)).sortWithinPartitions
+    monkeypatch.setattr(type(spark.range(0)), "sortWithinPartitions", lambda self, *a, **b: sent.append(self) or sort(self, *a, **b))
+    x = np.random.default_rng(9).normal(size=(700, 6)).astype(np.float32)
+    found = nb.neighbours(table(x), 5, "nndescent").collect()
+    apart = np.abs(x[:, None, :].astype(np.float64) - x[None]).sum(axis=2)
+    np.fill_diagonal(apart, np.inf)
+    right = {(i, j) for i, row in enumerate(np.argsort(apart, axis=1)[:, :5]) for j in row}
+    assert len(found) == 5 * 700 and sum((r["star_id"], r["nbr_id"]) in right for r in found) > 0.99 * 3500
+    rounds = [df for df in sent if {"kth", "vec"} <= set(df.columns)]
+    assert rounds and rounds[0].where("vec is not null").count() < 30 * 700       # about 71 a star before
