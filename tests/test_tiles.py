@@ -130,3 +130,13 @@ def test_a_vector_is_sent_to_a_cell_once(spark, table, monkeypatch):
     assert len(found) == 5 * 700 and sum((r["star_id"], r["nbr_id"]) in right for r in found) > 0.99 * 3500
     rounds = [df for df in sent if {"kth", "vec"} <= set(df.columns)]
     assert rounds and rounds[0].where("vec is not null").count() < 30 * 700       # about 71 a star before
+
+
+def test_a_star_that_comes_twice_sits_in_a_group_twice(spark, table, monkeypatch):
+    """Its own copy is then one of its neighbours, at distance 0, and nobody else's pairs are counted twice."""
+    x = np.random.default_rng(10).normal(size=(12, 4)).astype(np.float32)
+    once = table(x, "vec", None).selectExpr("star_id", "cast(vec as array<float>) vec")
+    lists_ = spark.createDataFrame([(i, (i + s) % 12, 99.0, 1) for i in range(12) for s in (1, 2, 3)], "star_id long, nbr_id long, dist double, fresh int")
+    cells = spark.createDataFrame([(i, i // 6) for i in range(12)], "star_id long, cell long")
+    got = nb._local_join(lists_, once.unionByName(once.where("star_id = 5")), cells, 2, 3, 0).collect()
+    assert {r["star_id"] for r in got if r["star_id"] == r["nbr_id"]} == {5}
